@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from ionframe.llm import exact_dedup, mixing
+from ionframe.llm import exact_dedup, line_dedup, mixing, url_filter, warc
 
 QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op3_mix_sources": mixing.ORACLE_SQL,
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
