@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ionframe.llm import exact_dedup, line_dedup, mixing, sentencepiece_codec, url_filter, warc
+from ionframe.llm import exact_dedup, langid, line_dedup, mixing, sentencepiece_codec, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language_id": langid.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op10_warc": warc.op10_warc,
