@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ionframe.llm import exact_dedup, langid, line_dedup, mixing, sentencepiece_codec, toxicity, url_filter, warc
+from ionframe.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, sentencepiece_codec, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
