@@ -214,7 +214,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, whole: bo
     """The records of the files in (file, bytes), read by ranges of ``split_bytes``; with payloads if ``whole``."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     cuts = manifest.where("bytes > 0").select("file", starts.alias("start")).withColumn("end", F.col("start") + split_bytes)
-    return cuts.repartition("file", "start").mapInArrow(_read(whole), READ)
+    # a task per range: left to itself, adaptive execution would put the few small rows into one task
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return cuts.repartition(int(n)).mapInArrow(_read(whole), READ)
 
 
 def resolved(records: DataFrame) -> DataFrame:
