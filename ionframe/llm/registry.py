@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ionframe.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, sentencepiece_codec, toxicity, url_filter, warc
+from ionframe.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_warc": warc.op10_warc,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_ngram_join": ngram_join.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
