@@ -1,0 +1,49 @@
+"""Spreading a cell's counted particles over its neighbourhood."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ionframe.functions import vectors as V
+from ionframe.functions.rng import draw, normal
+from ionframe.operators.mesh import with_shape
+
+
+def shares(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFrame:
+    """(source, target, num): what each source with particles gives to each cell it reaches, itself included.
+
+    Weights are area times a Gaussian of the centroids' distance, of width max(0.5, twice the root of the mean area).
+    """
+    shape = with_shape(cells).select("tri_id", "cnt", "area", "centroid")
+    src = shape.where("cnt > 0").select(F.col("tri_id").alias("source"), F.col("cnt").alias("n"), F.col("centroid").alias("c0"))
+    pairs = reached.select("source", F.col("tri_id").alias("target")).join(src, "source").join(shape.select(F.col("tri_id").alias("target"), "area", "centroid"), "target")
+    mean = pairs.groupBy("source").agg(F.greatest(F.lit(0.5), 2 * F.sqrt(F.avg("area"))).alias("sigma"))
+    d2 = V.dot(V.sub(F.col("c0"), F.col("centroid")), V.sub(F.col("c0"), F.col("centroid")))
+    weighed = pairs.join(mean, "source").withColumn("w", F.col("area") * F.exp(-d2 / (2 * F.col("sigma") * F.col("sigma"))))
+    total = weighed.groupBy("source").agg(F.sum("w").alias("all_w"))
+    num = F.greatest(F.lit(1), F.round(F.col("n") * float(10**weight_exponent) * F.col("w") / F.col("all_w"))).cast("long")
+    return weighed.join(total, "source").select("source", "target", num.alias("num"))
+
+
+def distributed(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFrame:
+    """(tri_id, cnt): counts of the cells after spreading, scaled to the expected total and truncated; other cells keep theirs."""
+    given = shares(cells, reached, weight_exponent).groupBy(F.col("target").alias("tri_id")).agg(F.sum("num").alias("got"))
+    model = cells.agg(F.sum("cnt")).first()[0] or 0
+    real = given.agg(F.sum("got")).first()[0] or 0
+    factor = model * float(10**weight_exponent) / real if real else 1.0
+    return cells.select("tri_id", "cnt").join(given, "tri_id", "left").select("tri_id", F.coalesce((F.col("got") * factor).cast("long"), "cnt").alias("cnt"))
+
+
+def positions(pairs: DataFrame, cells: DataFrame, seed: int, gaussian: bool = False) -> DataFrame:
+    """(source, target, pos): one random point per pair in the target triangle, with noise of 5 % of its mean edge."""
+    at = pairs.join(cells.select(F.col("tri_id").alias("target"), "v0", "v1", "v2"), "target").withColumn("key", F.concat_ws("-", "source", "target"))
+    u = lambda n: draw(seed, F.col("key"), 0, n)
+    r1, r2 = (F.least(F.abs(normal(u(2 * i), u(2 * i + 1))), F.lit(1.0)) if gaussian else u(i) for i in (0, 1))
+    at = at.withColumn("_a", F.sqrt(r1)).withColumn("_r2", r2)
+    p, q = 1 - F.col("_a"), F.col("_a") * (1 - F.col("_r2"))
+    v = [F.col(f"v{i}") for i in range(3)]
+    inside = V.add(V.add(V.scale(v[0], p), V.scale(v[1], q)), V.scale(v[2], 1 - p - q))
+    edge = (V.distance(v[0], v[1]) + V.distance(v[1], v[2]) + V.distance(v[2], v[0])) / 3 * 0.05
+    noise = V.vec(*[(normal(u(4 + 2 * i), u(5 + 2 * i)) if gaussian else u(4 + i) - 0.5) * edge for i in range(3)])
+    return at.select("source", "target", V.add(inside, noise).alias("pos"))
