@@ -3,13 +3,14 @@ r"""N-gram Jaccard self-join by signature trees, as connected components of the
 A document's set is its distinct shingles of ``k`` words (A-Z lower-cased, words ``[^\x20\x09-\x0D]+``), as 64-bit hashes.
 Two documents link when den * intersection >= num * union. Nothing below drops a link; all bounds are rigorous.
 
-1. Equal sets are one class from here on (smallest doc_id), so copies of one text are one row however many they are.
+1. Equal sets are one class from here on (a node named by their digest), so copies of one text are one row however many.
 2. If A and B link, each holds at least ceil(num * size / den) of the other's shingles. So of the smallest hashes of A, a
    prefix as long as what B may miss plus l(A), at least min(l(A), l(B)) also stand in B's prefix. Prefix hashes meet by
    hash in packed rows; a document fewer of whose prefix hashes are in any other's is out.
-3. Of the documents left, all hashes are counted; each document takes its rarest ones, as many as a partner may miss plus
-   one (those it has alone need no bucket), and sends its bitmap and size to the bucket of each. A bucket of more than
-   ``CHUNK`` documents is cut in chunks, and each pair of chunks is a bucket of its own in a task of its own.
+3. Of the documents left, prefix hashes are counted again; each document takes its rarest ones, as many as its prefix has
+   beyond what it must share there, plus one (those it has alone need no bucket), and sends the bitmap and size of its
+   whole set to the bucket of each. A bucket of more than ``CHUNK`` documents is cut in chunks, and each pair of chunks is
+   a bucket of its own in a task of its own.
 4. The documents of a bucket form a signature tree: sorted by size, eight to a node, a node holding the OR of its bitmaps,
    its range of sizes, and the most hashes that share bits. A dual traversal from the root against itself skips pairs of
    nodes whose largest possible overlap, bits in common plus shared-bit hashes, is too small for their smallest sizes,
@@ -18,9 +19,9 @@ Two documents link when den * intersection >= num * union. Nothing below drops a
    exactly, as products of 0/1 matrices, and a spanning forest of the true links is emitted; its components are the result.
 
 Defined results: null, empty and blank texts have 0 shingles and are their own component; a text of fewer than k words
-has its word sequence as its one shingle; repeated rows are copies; rows with one doc_id and different texts are one node
-in the components; rows with a null doc_id keep a null component unless a copy has an id; extra columns are ignored; an
-empty table gives no rows.
+has its word sequence as its one shingle; repeated rows are copies; rows with one doc_id and different texts are documents
+of their own; a null doc_id is no smallest doc_id, so such rows have a null component only if no row with an id is in it;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-SETS = "doc_id long, n long, own binary, bits binary"
+SETS = "node long, n long, own binary, bits binary"
 
 
 def _sets(k: int):
@@ -202,24 +203,23 @@ def _sets(k: int):
         for batch in batches:
             at = 0
             wanted = list(zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True))
-            ids = batch.column("doc_id").to_pylist()
             for sets in shingle_sets(batch.column("text"), k):
-                rows = [(ids[at + i], s) for i, s in enumerate(sets) if digest(s) == wanted[at + i]]
+                rows = [(wanted[at + i][0], s) for i, s in enumerate(sets) if digest(s) == wanted[at + i]]
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([bitmap(r[1]).tobytes() for r in rows], pa.binary())],
-                    names=["doc_id", "n", "own", "bits"],
+                    names=["node", "n", "own", "bits"],
                 )
 
     return run
 
 
-def _set_rows(parts: int):
+def _set_rows(parts: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("own").to_pylist()
-            hashes = np.frombuffer(b"".join(found), np.uint64)
-            yield from packed(part_of(hashes, parts), ["hash", "doc"], [hashes, np.repeat(np.asarray(batch.column("doc_id")), [len(x) // 8 for x in found])])
+            cut = prefix_length(np.asarray(batch.column("n")), num, den)
+            hashes = np.frombuffer(b"".join(x[: 8 * c] for x, c in zip(batch.column("own").to_pylist(), cut, strict=True)), np.uint64)
+            yield from packed(part_of(hashes, parts), ["hash", "doc"], [hashes, np.repeat(np.asarray(batch.column("node")), cut)])
 
     return run
 
@@ -238,7 +238,7 @@ def _frequencies(parts: int):
             df = n[inverse]
             keep = df > 1
             doc = x["doc"][keep]
-            yield from packed(doc_part(doc, parts), ["doc", "hash", "df"], [doc, x["hash"][keep], df[keep].astype(np.int64)])
+            yield from packed(doc_part(doc, parts), ["doc", "hash", "df"], [doc, x["hash"][keep], df[keep].astype(np.int32)])
 
     return run
 
@@ -246,7 +246,7 @@ def _frequencies(parts: int):
 def _part_column(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, n = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
+            doc, n = np.asarray(batch.column("node")), np.asarray(batch.column("n"))
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(doc), WORDS)
             yield from packed(doc_part(doc, parts), ["own_doc", "own_n", "own_bits"], [doc, n, bits])
 
@@ -257,17 +257,20 @@ def _buckets(parts: int, num: int, den: int):
     """Each document's rarest hashes as buckets, with its size and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpacked(batches, {"doc": np.int64, "hash": np.uint64, "df": np.int64, "own_doc": np.int64, "own_n": np.int64, "own_bits": np.uint64})
+        x = unpacked(batches, {"doc": np.int64, "hash": np.uint64, "df": np.int32, "own_doc": np.int64, "own_n": np.int64, "own_bits": np.uint64})
         if not len(x["doc"]):
             return
-        by = np.argsort(x["own_doc"])
-        docs, n, bits = x["own_doc"][by], x["own_n"][by], x["own_bits"].reshape(-1, WORDS)[by]
+        docs, by = np.unique(x["own_doc"], return_index=True)
+        n, bits = x["own_n"][by], x["own_bits"].reshape(-1, WORDS)[by]
         order = np.lexsort((x["hash"], x["df"], x["doc"]))
+        again = (np.diff(x["doc"][order], prepend=-1) == 0) & (np.diff(x["hash"][order], prepend=np.uint64(0)) == 0)
+        order = order[~again]
         doc, h, df = x["doc"][order], x["hash"][order], x["df"][order]
         at = np.searchsorted(docs, doc)
         first = np.searchsorted(doc, docs)
         shared = np.searchsorted(doc, docs, side="right") - first
-        wanted = n - must_share(n, num, den) + 1 - (n - shared)  # hashes a document has alone are its rarest
+        # of the prefix a partner has as many at least as step 2 asks for; hashes a document has alone are its rarest
+        wanted = shared - surplus(must_share(n, num, den)) + 1
         keep = np.arange(len(doc)) - first[at] < wanted[at]
         at, h, df = at[keep], h[keep], df[keep]
         chunks = -(-df // CHUNK)
@@ -418,7 +421,7 @@ def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, owned = None, [], []
         for batch in batches:
-            for key, doc, own in zip(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True), batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            for key, doc, own in zip(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True), batch.column("node").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 if key != group:
                     yield from links(ids, owned)
                     group, ids, owned = key, [], []
@@ -445,25 +448,29 @@ def jaccard_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = D
     size = int(_SIZE)
     ref = F.col("d1").bitwiseAND(F.lit(~size)).bitwiseOR(F.least("n", F.lit(size)))
     reps = classes.withColumn("_ref", ref).join(left, F.col("_ref") == F.col("ref"), "left_semi").where("rep IS NOT NULL").select("rep", "d1", "d2")
-    chosen = texts.join(materialise(reps, "set-reps"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "d1", "d2")
-    sets = materialise(chosen.mapInArrow(_sets(k), SETS).dropDuplicates(["doc_id"]), "sets")
+    # one strategy at every size: texts meet the chosen ids by a shuffle, never by a broadcast of what grows
+    chosen = texts.join(materialise(reps, "set-reps").hint("merge"), F.col("doc_id") == F.col("rep")).select("text", "d1", "d2")
+    sets = materialise(chosen.mapInArrow(_sets(k), SETS), "sets")
 
-    returned = sets.select("doc_id", "own").mapInArrow(_set_rows(parts), "part int, hash binary, doc binary").repartition(parts, "part").mapInArrow(_frequencies(parts), "part int, doc binary, hash binary, df binary")
-    owners = sets.select("doc_id", "n", "bits").mapInArrow(_part_column(parts), "part int, own_doc binary, own_n binary, own_bits binary")
+    returned = sets.select("node", "n", "own").mapInArrow(_set_rows(parts, num, den), "part int, hash binary, doc binary").repartition(parts, "part").mapInArrow(_frequencies(parts), "part int, doc binary, hash binary, df binary")
+    owners = sets.select("node", "n", "bits").mapInArrow(_part_column(parts), "part int, own_doc binary, own_n binary, own_bits binary")
     buckets = returned.unionByName(owners, allowMissingColumns=True).repartition(parts, "part").mapInArrow(_buckets(parts, num, den), "part int, key binary, doc binary, n binary, bits binary")
     maybe = materialise(buckets.repartition(parts, "part").mapInArrow(_traverse(num, den), "a long, b long"), "candidates")
 
-    groups = components(maybe)
+    groups = components(maybe).withColumnRenamed("node", "doc")
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
-    placed = materialise(groups.join(sizes, "component").select(F.col("node"), F.col("component").alias("comp"), "chunks"), "candidate-groups")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    placed = materialise(groups.join(sizes, "component").select("doc", F.col("component").alias("comp"), "chunks"), "candidate-groups")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tiles = sets.join(placed, F.col("doc_id") == F.col("node")).withColumn("own_chunk", own).select("doc_id", "own", "comp", "own_chunk", other.alias("other")).select("doc_id", "own", "comp", F.least("own_chunk", "other").alias("i"), F.greatest("own_chunk", "other").alias("j"))
-    true = materialise(tiles.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "doc_id").select("comp", "i", "j", "doc_id", "own").mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
-
-    found = components(true)
-    named = materialise(classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("component")), "set-components")
-    return sketch.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    tiles = sets.join(placed.hint("merge"), F.col("node") == F.col("doc")).withColumn("own_chunk", own).select("node", "own", "comp", "own_chunk", other.alias("other")).select("node", "own", "comp", F.least("own_chunk", "other").alias("i"), F.greatest("own_chunk", "other").alias("j"))
+    true = materialise(tiles.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").select("comp", "i", "j", "node", "own").mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
+
+    found = components(true).withColumnRenamed("node", "doc")
+    member = materialise(classes.join(found, F.col("d1") == F.col("doc")).select("doc", "component", "rep"), "set-members")
+    least = materialise(member.groupBy("component").agg(F.min("rep").alias("least")), "set-least")
+    linked_rows = member.join(least, "component").select("doc", "least")
+    named = materialise(classes.join(linked_rows, F.col("d1") == F.col("doc"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("least", "rep").alias("component")), "set-components")
+    return sketch.join(named.hint("merge"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
