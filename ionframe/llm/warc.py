@@ -6,9 +6,9 @@ become revisits of the one with the largest page_id.
 
 Reading: files are cut into byte ranges. A task scans its range for the gzip magic, accepts a candidate only if it
 decodes to a WARC header, then reads member after member; it owns the records that start inside its range, whatever
-their length. A chain of members begun at a candidate counts only if it runs on without a gap to the end of the range
-or file, so an archive embedded in a payload is not mistaken for records. Revisits get the size of the payload they
-refer to by a join.
+their length. A range that begins inside a stored payload may find the records of an archive embedded there; as the
+record around them, owned by an earlier range, spans their places, a window over each file's places drops them. Revisits
+get the size of the payload they refer to by a join.
 
 Defined results: a null html is an empty payload; a null url is an empty target; of equal payloads every row with the
 largest page_id is a response (so are repeated rows of it); a null page_id is smaller than any other; extra columns are
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ionframe.storage import materialise, new_path, table
@@ -167,32 +168,31 @@ def _page(urn: str) -> int | None:
 
 
 def read_range(file: str, start: int, end: int, whole: bool) -> Iterator[tuple]:
-    """The records that start in [start, end): page_id, url, type, digest, payload bytes, refers_to, payload (if ``whole``)."""
+    """The records that start in [start, end): page_id, url, type, digest, payload bytes, refers_to, payload (if ``whole``), file, place, end."""
     data, at = Range(file, start), start
     while (at := data.magic(at, end)) >= 0:
-        chain, place = [], at
-        while place < end and (got := data.member(place)) and (found := parse(got[0])):
-            fields, block = found
-            payload = block.partition(CRLF + CRLF)[2]
-            kind = fields.get("warc-type", "")
-            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-            if kind == "response":
-                digest = base32(hashlib.sha1(payload).hexdigest())
-            refers = fields.get("warc-refers-to")
-            chain.append((_page(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), kind, digest, len(payload) if kind == "response" else None, _page(refers) if refers else None, payload if whole else None))
-            place = got[1]
-            data.trim(place)
-        if chain and (place >= end or place >= data.size):
-            yield from chain
-            return
-        at += 1
-
-
-READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+        got = data.member(at)
+        found = parse(got[0]) if got else None
+        if not found:
+            at += 1
+            continue
+        fields, block = found
+        payload = block.partition(CRLF + CRLF)[2]
+        kind = fields.get("warc-type", "")
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        if kind == "response":
+            digest = base32(hashlib.sha1(payload).hexdigest())
+        refers = fields.get("warc-refers-to")
+        yield (_page(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), kind, digest, len(payload) if kind == "response" else None, _page(refers) if refers else None, payload if whole else None, file, at, got[1])
+        at = got[1]
+        data.trim(at)
+
+
+READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, file string, place long, stop long"
 
 
 def _read(whole: bool):
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
@@ -216,7 +216,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, whole: bo
     cuts = manifest.where("bytes > 0").select("file", starts.alias("start")).withColumn("end", F.col("start") + split_bytes)
     # a task per range: left to itself, adaptive execution would put the few small rows into one task
     n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
-    return cuts.repartition(int(n)).mapInArrow(_read(whole), READ)
+    found = cuts.repartition(int(n)).mapInArrow(_read(whole), READ)
+    before = F.max("stop").over(W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    return found.withColumn("_before", before).where("_before IS NULL OR _before <= place").drop("_before", "file", "place", "stop")
 
 
 def resolved(records: DataFrame) -> DataFrame:
