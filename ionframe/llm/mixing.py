@@ -25,7 +25,7 @@ from ionframe.storage import materialise, table
 
 #: Weights by the sources' order, repeated.
 WEIGHTS = (1, 2, 3)
-BLOCK_WORDS, SHARD_DOCS, MAX_REPEATS, SEED = 64, 500, 3, "mix"
+BLOCK_WORDS, SHARD_DOCS, MAX_REPEATS, SEED = 16, 500, 3, "mix"
 
 
 def word_count(text: Column) -> Column:
@@ -149,19 +149,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Only the two documents at the ends of a shard's run are taken in part, so rounding moves at most two documents a shard.
     """
-    plan = mix(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.first("taken").alias("taken"))
-    copies = F.floor(F.col("taken") / F.col("_size") + 0.5).cast("int")
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id_"), F.col("source").alias("_source_"), F.col("size").alias("_words_")).agg(F.first("taken").alias("_taken_"))
+    copies = F.floor(F.col("_taken_") / F.col("_words_") + 0.5).cast("int")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id_")) & F.col("source").eqNullSafe(F.col("_source_")) & (word_count(F.col("text")) == F.col("_words_"))
     return (
-        keyed.alias("d")
-        .join(
-            plan.alias("p"),
-            F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size")),
-        )
-        .select("d.*", "p.taken")
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.join(taken, same)
+        .withColumn("_copies_", copies)
+        .where("_copies_ > 0")
+        .withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_copies_"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
