@@ -22,9 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
     """Drops lines that many documents hold, except where they stay; texts and n_chars follow."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_row_")))
     kept = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return found.select(*[kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[kept.get(c, F.col(f"_row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
