@@ -41,7 +41,8 @@ from ionframe.storage import materialise, partitions, table
 
 K, NUM, DEN = 4, 85, 100
 WORDS = 16  # 64-bit words of a bitmap
-CHUNK, GROUP, FAN, PAIRS, COLUMNS = 4096, 1024, 8, 1 << 16, 4096
+CHUNK, FAN, PAIRS, COLUMNS = 4096, 8, 1 << 16, 4096
+GROUP, SMALL, SPREAD = 1024, 128, 10  # documents of a chunk in step 5: at most, and where up to SPREAD chunks share a group
 SURPLUS = 0.12  # l(n) / n in step 2
 _SIZE = np.uint64(0xFFFFF)
 
@@ -458,7 +459,7 @@ def jaccard_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = D
     maybe = materialise(buckets.repartition(parts, "part").mapInArrow(_traverse(num, den), "a long, b long"), "candidates")
 
     groups = components(maybe).withColumnRenamed("node", "doc")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
+    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.least(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) / SMALL))).cast("int").alias("chunks"))
     placed = materialise(groups.join(sizes, "component").select("doc", F.col("component").alias("comp"), "chunks"), "candidate-groups")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Punctuation before which a text may be cut.
 PUNCTUATION = ".,;:!?|*#%&)]}\"'/"
 ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
-CACHE_WORDS, CHUNK_WORDS, ROWS = 1_000_000, 20_000, 4096
+CACHE_WORDS, CHUNK_WORDS, ROWS = 400_000, 20_000, 4096
 
 
 class PieceModel:

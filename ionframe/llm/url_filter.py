@@ -6,7 +6,7 @@ with the rule's path. The longest rule (host and path together, then host) wins.
 The index is two memory-mapped arrays of sorted 64-bit xxhash keys, one of hosts and one of whole rules, beside the
 stored strings. A batch of URLs probes them with vectorised binary search: first the suffixes of every distinct host,
 then, for hosts that have rules, the path prefixes of the lengths those rules have. A digest found is confirmed against
-the stored string, so a collision never decides. The index travels as one file to each executor, where all Python
+the stored string, so a collision never decides. The index travels as files to each executor, where all Python
 workers map the same pages; its size is checked against ``max_bytes`` first.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets the default
@@ -16,6 +16,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import os
 import tempfile
@@ -62,36 +63,36 @@ def _strings(path: str, values: list[str]) -> None:
         f.write(b"".join(blobs))
 
 
-def build_index(rules: list[Rule] | tuple[Rule, ...], folder: str) -> int:
-    """Writes the index of ``rules`` into ``folder``; returns its bytes. Of two rules on one host and path the first counts."""
+def build_index(rules: list[Rule] | tuple[Rule, ...], prefix: str) -> int:
+    """Writes the index of ``rules`` as files named ``prefix``...; returns their bytes. Of two rules on one host and path the first counts."""
     unique = {(r.host, r.path): r for r in reversed(rules) if r.host}
     whole = sorted(unique.values(), key=lambda r: (digest(r.host + r.path), r.host, r.path))
     lengths: dict[str, set[int]] = {}
     for r in whole:
         lengths.setdefault(r.host, set()).add(len(r.path))
     hosts = sorted(lengths, key=lambda h: (digest(h), h))
-    np.save(f"{folder}/rule_keys.npy", np.array([digest(r.host + r.path) for r in whole], dtype=np.uint64))
-    np.save(f"{folder}/rule_host_len.npy", np.array([len(r.host) for r in whole], dtype=np.int32))
-    np.save(f"{folder}/rule_block.npy", np.array([r.verdict == "block" for r in whole], dtype=bool))
-    np.save(f"{folder}/host_keys.npy", np.array([digest(h) for h in hosts], dtype=np.uint64))
-    np.save(f"{folder}/length_ends.npy", np.cumsum([len(lengths[h]) for h in hosts], dtype=np.int64))
-    np.save(f"{folder}/lengths.npy", np.array([n for h in hosts for n in sorted(lengths[h])], dtype=np.int32))
-    _strings(f"{folder}/rules", [r.host + r.path for r in whole])
-    _strings(f"{folder}/hosts", hosts)
-    return sum(e.stat().st_size for e in os.scandir(folder))
+    np.save(f"{prefix}rule_keys.npy", np.array([digest(r.host + r.path) for r in whole], dtype=np.uint64))
+    np.save(f"{prefix}rule_host_len.npy", np.array([len(r.host) for r in whole], dtype=np.int32))
+    np.save(f"{prefix}rule_block.npy", np.array([r.verdict == "block" for r in whole], dtype=bool))
+    np.save(f"{prefix}host_keys.npy", np.array([digest(h) for h in hosts], dtype=np.uint64))
+    np.save(f"{prefix}length_ends.npy", np.cumsum([len(lengths[h]) for h in hosts], dtype=np.int64))
+    np.save(f"{prefix}lengths.npy", np.array([n for h in hosts for n in sorted(lengths[h])], dtype=np.int32))
+    _strings(f"{prefix}rules", [r.host + r.path for r in whole])
+    _strings(f"{prefix}hosts", hosts)
+    return sum(os.path.getsize(f) for f in glob.glob(glob.escape(prefix) + "*"))
 
 
 class DigestArray:
     """The mapped index in one Python worker."""
 
-    def __init__(self, folder: str):
+    def __init__(self, prefix: str):
         def mapped(name: str) -> np.ndarray:
-            return np.load(f"{folder}/{name}.npy", mmap_mode="r")
+            return np.load(f"{prefix}{name}.npy", mmap_mode="r")
 
         self.rule_keys, self.rule_host_len, self.rule_block = mapped("rule_keys"), mapped("rule_host_len"), mapped("rule_block")
         self.host_keys, self.length_ends, self.lengths = mapped("host_keys"), mapped("length_ends"), mapped("lengths")
         self.ends = {k: mapped(f"{k}.ends") for k in ("rules", "hosts")}
-        self.blob = {k: np.memmap(f"{folder}/{k}.blob", dtype=np.uint8, mode="r") if os.path.getsize(f"{folder}/{k}.blob") else np.zeros(0, np.uint8) for k in ("rules", "hosts")}
+        self.blob = {k: np.memmap(f"{prefix}{k}.blob", dtype=np.uint8, mode="r") if os.path.getsize(f"{prefix}{k}.blob") else np.zeros(0, np.uint8) for k in ("rules", "hosts")}
 
     def string(self, kind: str, at: int) -> str:
         start = int(self.ends[kind][at - 1]) if at else 0
@@ -156,15 +157,15 @@ def _judge(name: str, default: str):
 def filter_urls(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per row of (page_id, url): page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    folder = tempfile.mkdtemp(prefix="url-rules-")
-    size = build_index(rules, folder)
+    name = f"url-rules-{hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()[:16]}-"
+    prefix = f"{tempfile.mkdtemp()}/{name}"
+    size = build_index(rules, prefix)
     if size > max_bytes:
         raise ValueError(f"the rule index has {size} bytes; at most {max_bytes} are sent to each executor")
-    name = "url-rules-" + hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()[:16]
-    target = os.path.join(os.path.dirname(folder), name)
-    if not os.path.isdir(target):
-        os.rename(folder, target)
-    spark.sparkContext.addFile(target, recursive=True)
+    sent = {os.path.basename(f) for f in spark.sparkContext.listFiles}
+    for file in sorted(glob.glob(glob.escape(prefix) + "*")):
+        if os.path.basename(file) not in sent:  # named by content: a rule set sent once is the same file
+            spark.sparkContext.addFile(file)
     host = F.translate(F.regexp_extract("url", URL, 1), UPPER, LOWER)
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract("url", URL, 2), F.lit("")).alias("path"))
     return parts.mapInArrow(_judge(name, default), "page_id long, host string, path string, rule string, verdict string")

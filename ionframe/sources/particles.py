@@ -10,8 +10,10 @@ from ionframe.constants import DISPLACEMENT, EV_TO_J, species_table
 from ionframe.functions import vectors as V
 from ionframe.functions.physics import displacement, velocity_from_energy
 from ionframe.functions.rng import between, draw
+from ionframe.storage import partitions
 
 COLUMNS = ["id", "species", "source", "pos", "v", "energy_j"]
+CHUNK = 100_000
 
 
 def check_sources(sources: DataFrame) -> None:
@@ -24,8 +26,12 @@ def check_sources(sources: DataFrame) -> None:
 
 def _rows(each: DataFrame, seed: int, first_id: int) -> DataFrame:
     """Particles of (source, type, n, before, energy_ev, expansion, phi, theta, pos); ids follow the order of the sources."""
-    species = F.broadcast(species_table(each.sparkSession).select("species", "mass"))
-    rows = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("id", F.lit(first_id) + F.col("before") + F.col("k"))
+    spark = each.sparkSession
+    species = F.broadcast(species_table(spark).select("species", "mass"))
+    # a source's rows are made in chunks, dealt over all tasks before they are expanded
+    chunks = each.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition(4 * partitions(spark), "source", "chunk")
+    ks = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)
+    rows = chunks.withColumn("k", F.explode(ks)).withColumn("id", F.lit(first_id) + F.col("before") + F.col("k"))
     moving = rows.join(species, F.col("type") == F.col("species"))
     spread = between(draw(seed, F.col("id"), 0, 0), -1.0, 1.0)
     v = velocity_from_energy(F.col("energy_ev"), F.col("mass"), F.col("expansion"), F.col("phi"), F.col("theta"), spread)

@@ -76,9 +76,9 @@ def test_url_rules(spark):
 
 def test_collisions_never_decide(monkeypatch):
     monkeypatch.setattr(U, "digest", lambda text: len(text) % 3)
-    folder = tempfile.mkdtemp()
-    assert U.build_index(U.RULES, folder) > 0
-    index = U.DigestArray(folder)
+    prefix = f"{tempfile.mkdtemp()}/rules-"
+    assert U.build_index(U.RULES, prefix) > 0
+    index = U.DigestArray(prefix)
     for url in URLS:
         host, path, rule, verdict = brute_url(url, U.RULES)
         got = index.judge([host], [path])[0]
