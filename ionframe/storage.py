@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="ionframe-package-"), "ionframe")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(here), os.path.basename(here)))
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
