@@ -1,25 +1,28 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and their beginnings of 4, 5 and 6 bytes (a crude stem). A bounded sample of labelled rows
-gives term frequencies by label; the terms whose presence depends on the label (by a chi-square that none of so many
-terms would reach by chance, at most ``MAX_TERMS`` of them) make the vocabulary, and the sampled rows become example vectors, tf-idf weighted and scaled
-to length 1. Examples with one and the same vector are one entry with its label counts. Entries stand in blocks; an
-inverted index keeps, per term, its postings and the largest weight in each block. A query sums these maxima to bound
-each block, opens blocks from the highest bound down, and stops when no bound reaches the k-th best cosine: the k nearest
-entries exactly. They vote with weight cosine squared; a logistic curve fitted on leave-one-out votes of the examples
-turns the vote into a probability. The nearest examples' doc_ids are the evidence.
-
-The driver receives at most ``MAX_TERMS`` terms and ``MAX_EXAMPLES`` sparse vectors; executors get the index. Every
-document is scored over its whole text.
-
-Defined results: a text without any term of the vocabulary (also an empty or null one) gets the smoothed share of label 1
-among such examples; without a labelled row, or with one label only, every score is the smoothed share of label 1 (0 of
+makes the example vectors, over every term of their texts: tf-idf times the root of the term's chi-square against the label
+(1 at least, so no term is dropped), scaled to length 1 over all terms of the text. A text's vector is scaled over all its
+terms too; one that no example has weighs as a term of no document. Examples with one and the same vector are one entry
+with its label counts. Entries stand in blocks. Terms of at most ``COMMON`` entries have postings, from which their part of
+the cosine is summed exactly; of the other terms the largest weight in each block bounds the rest. Blocks are opened from
+the highest bound down until no bound reaches the k-th best cosine: single-precision rows pick an opened block's entries,
+double precision decides, so these are the k nearest entries exactly. They vote with weight cosine squared; a logistic
+curve fitted on leave-one-out votes of the examples turns the vote into a probability. The nearest examples' doc_ids are
+the evidence.
+
+The driver receives at most ``MAX_EXAMPLES`` sparse vectors, as large as these examples' texts; executors get the index.
+Every document is scored over its whole text.
+
+Defined results: a text without any term of an example (also an empty or null one) gets the smoothed share of label 1
+among examples without a term; without a labelled row, or with one label only, every score is the smoothed share of label 1 (0 of
 0: 0); of several labels of one doc_id the largest counts; a null doc_id is not held out and never trains; repeated rows
 are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionframe.llm.langid import held_out
-from ionframe.llm.textscan import as_long, buffers, pieces, span_hashes, words
-from ionframe.storage import materialise, table
+from ionframe.llm.textscan import buffers, pieces, span_hashes, words
+from ionframe.storage import table
 
-MAX_EXAMPLES, TOXIC_SHARE, MAX_TERMS, MIN_DF = 6000, 1 / 3, 4096, 3
+MAX_EXAMPLES, TOXIC_SHARE = 6000, 1 / 3
 NEAREST, BLOCK, SMOOTHING = 15, 64, 0.5
 STEMS = (4, 5, 6)
+#: Terms of more entries have rows instead of postings; no single-precision cosine is off by more than SLACK.
+COMMON, SLACK = 400, 1e-4
 #: Bytes that end a word: ASCII but letters and digits.
 NO_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
@@ -54,49 +59,82 @@ def terms_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, np.concatenate(rows), np.concatenate(hashes)
 
 
+def counts_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted terms, counts) of each row."""
+    for a, b, row, hashes in terms_of(column):
+        order = np.argsort(row, kind="stable")
+        hashes, bounds = hashes[order], np.searchsorted(row[order], np.arange(b - a + 1))
+        for i in range(b - a):
+            yield np.unique(hashes[bounds[i] : bounds[i + 1]], return_counts=True)
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, .. of each span, one span after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Vocabulary, entries in blocks, and what scores a vote."""
+    """Terms, entries in blocks, and what scores a vote."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    idf: np.ndarray  # times the label's part in the weight
     prior: float  # of a text without terms
-    entry_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # postings by term: entry, weight
+    unseen: float = 1.0  # idf of a term of no example
+    entry_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # postings by term: entry, weight
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row of a common term, -1 of others
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # by common term, block, entry
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by common term, block
+    common_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # common terms by entry: row, weight
+    common_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    common_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     ones: np.ndarray = field(default_factory=lambda: np.zeros(0))
     total: np.ndarray = field(default_factory=lambda: np.zeros(0))
     evidence: list[list[int]] = field(default_factory=list)
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def vector(self, columns: np.ndarray, counts: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+        """Weights of ``columns``; ``others`` are the counts of the text's terms that no example has."""
         x = (1 + np.log(counts)) * self.idf[columns]
-        return x / np.sqrt((x * x).sum())
+        square = (x * x).sum()
+        if others is not None and len(others):
+            square += (((1 + np.log(others)) * self.unseen) ** 2).sum()
+        return x / np.sqrt(square)
 
     def nearest(self, columns: np.ndarray, x: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, int]:
         """(entries, cosines) of the k nearest with a cosine above 0, ties by entry; and the number of blocks opened."""
-        bound = x @ self.block_max[columns]
+        slot = self.slot[columns]
+        rare, of = columns[slot < 0], slot[slot >= 0]
+        size = self.first[rare + 1] - self.first[rare]
+        at = spans(self.first[rare], size)
+        part = np.bincount(self.entry_of[at], weights=np.repeat(x[slot < 0], size) * self.weight[at], minlength=self.block_max.shape[1] * BLOCK)
+        y = np.zeros(len(self.block_max))
+        y[of] = x[slot >= 0]
+        small = y[of].astype(np.float32)
+        bound = part.reshape(-1, BLOCK).max(axis=1) + y[of] @ self.block_max[of]
         order = np.argsort(-bound, kind="stable")
         found, cosines, opened = np.zeros(0, np.int64), np.zeros(0), 0
-        for i in range(0, len(order), 4):
-            some = order[i : i + 4]
-            some = some[bound[some] > 0]
+        for some in (order[:4], order[4:]):
             worst = cosines[k - 1] if len(cosines) >= k else 0.0
-            some = some[bound[some] * (1 + 1e-12) >= worst]
+            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-12) >= worst)]
             if not len(some):
                 break
             opened += len(some)
-            wanted = np.zeros(len(bound), dtype=bool)
-            wanted[some] = True
-            score = np.zeros(len(self.total))
-            for t, w in zip(columns, x, strict=True):
-                entry = self.entry_of[self.first[t] : self.first[t + 1]]
-                keep = wanted[entry // BLOCK]
-                score[entry[keep]] += w * self.weight[self.first[t] : self.first[t + 1]][keep]
-            hit = np.flatnonzero(score)
-            found, cosines = np.r_[found, hit], np.r_[cosines, score[hit]]
+            entry = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if len(some) * 3 > len(bound):  # whole rows are read faster than most of their blocks
+                rough = part[entry] + (small @ self.rows.reshape(len(y), len(part))[of])[entry]
+            else:
+                rough = part[entry] + small @ self.rows[np.ix_(of, some)].reshape(len(of), len(entry))
+            least = max(worst, np.partition(rough, -k)[-k] if len(rough) > k else 0.0) - 2 * SLACK
+            entry = entry[(rough > 0) & (rough >= least)]
+            size = self.common_first[entry + 1] - self.common_first[entry]
+            at = spans(self.common_first[entry], size)
+            score = part[entry] + np.bincount(np.repeat(np.arange(len(entry)), size), weights=y[self.common_of[at]] * self.common_weight[at], minlength=len(entry))
+            found, cosines = np.r_[found, entry], np.r_[cosines, score]
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines, opened
@@ -110,10 +148,10 @@ class Index:
     def base(self) -> float:
         return float((self.ones.sum() + 0.5) / (self.total.sum() + 1))
 
-    def score(self, columns: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+    def score(self, columns: np.ndarray, counts: np.ndarray, others: np.ndarray | None = None) -> tuple[float, list[int]]:
         if not len(columns) or not len(self.total):
             return self.prior, []
-        found, cosines, _ = self.nearest(columns, self.vector(columns, counts))
+        found, cosines, _ = self.nearest(columns, self.vector(columns, counts, others))
         if not len(found):
             return self.prior, []
         v = self.vote(found, cosines, self.ones, self.total)
@@ -141,38 +179,67 @@ def _logistic(x: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[float
 def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
     """The index over (doc_id, label, columns, counts)."""
     by = np.argsort(terms)
-    renamed = np.empty(len(terms), dtype=np.int64)
+    renamed = np.empty(len(terms), dtype=np.int32)
     renamed[by] = np.arange(len(terms))
-    n = len(examples)
-    idf = np.log((1 + n) / (1 + df[by])) + 1
+    n, n1 = len(examples), sum(e[1] for e in examples)
     bare = [e for e in examples if not len(e[2])]
+    examples = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
+    size = np.array([len(e[2]) for e in examples], dtype=np.int64)
+    start = np.cumsum(size) - size
+    label = np.array([e[1] for e in examples], dtype=float)
+    column, count = np.zeros(size.sum(), np.int32), np.zeros(size.sum(), np.int32)
+    for a, m, e in zip(start.tolist(), size.tolist(), examples, strict=True):
+        own = renamed[e[2]]
+        order = np.argsort(own)
+        column[a : a + m], count[a : a + m] = own[order], e[3][order]
+    rows = np.bincount(column, minlength=len(terms)).astype(float)
+    ones = np.bincount(column, weights=np.repeat(label, size), minlength=len(terms))
+    spread = rows * (n - rows) * n1 * (n - n1)
+    chi2 = np.divide(n * (n * ones - rows * n1) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
+    idf = (np.log((1 + n) / (1 + df[by])) + 1) * np.sqrt(np.maximum(1, chi2))
     bare_ones = sum(e[1] for e in bare)
-    index = Index(terms[by], idf, (bare_ones + 0.01) / (len(bare) + 1) if n else 0.0)
+    index = Index(terms[by], idf, (bare_ones + 0.01) / (len(bare) + 1) if n else 0.0, float(np.log(1 + n) + 1))
     groups: dict[bytes, list] = {}
-    for doc_id, label, columns, counts in sorted((e for e in examples if len(e[2])), key=lambda e: e[0]):
-        own = renamed[columns]
-        order = np.argsort(own)
-        own, x = own[order], index.vector(own[order], counts[order])
-        g = groups.setdefault(own.tobytes() + np.round(x, 12).tobytes(), [own, x, 0, 0, []])
-        g[2] += label
+    x = np.zeros(len(column))
+    for k, (a, m, e) in enumerate(zip(start.tolist(), size.tolist(), examples, strict=True)):
+        own = slice(a, a + m)
+        x[own] = index.vector(column[own], count[own])
+        key = hashlib.blake2b(column[own].tobytes() + np.round(x[own], 12).tobytes(), digest_size=16).digest()
+        g = groups.setdefault(key, [k, int(column[a + np.argmax(x[own])]), 0, 0, []])
+        g[2] += e[1]
         g[3] += 1
         if len(g[4]) < 3:
-            g[4].append(doc_id)
-    entries = sorted(groups.values(), key=lambda g: (int(g[0][np.argmax(g[1])]), len(g[0]), g[4]))
+            g[4].append(e[0])
+    entries = sorted(groups.values(), key=lambda g: (g[1], size[g[0]], g[4]))
     index.ones, index.total = np.array([g[2] for g in entries], dtype=float), np.array([g[3] for g in entries], dtype=float)
     index.evidence = [g[4] for g in entries]
     if not entries:
         return index
-    entry = np.repeat(np.arange(len(entries)), [len(g[0]) for g in entries])
-    term, weight = np.concatenate([g[0] for g in entries]), np.concatenate([g[1] for g in entries])
-    order = np.lexsort((entry, term))
+    kept = np.array([g[0] for g in entries])
+    at = spans(start[kept], size[kept])
+    column, x = column[at], x[at]  # in the order of entries
+    bounds = np.r_[0, np.cumsum(size[kept])]
+    entry, term, weight = np.repeat(np.arange(len(entries), dtype=np.int32), size[kept]), column, x
+    del at, count
+    blocks = (len(entries) + BLOCK - 1) // BLOCK
+    common = np.flatnonzero(np.bincount(term, minlength=len(terms)) > COMMON)
+    index.slot = np.full(len(terms), -1, dtype=np.int32)
+    index.slot[common] = np.arange(len(common))
+    own = index.slot[term] >= 0  # by entry
+    index.common_of, index.common_weight = index.slot[term[own]], weight[own]
+    index.common_first = np.searchsorted(entry[own], np.arange(blocks * BLOCK + 1))
+    index.rows = np.zeros((len(common), blocks, BLOCK), dtype=np.float32)
+    index.rows[index.common_of, entry[own] // BLOCK, entry[own] % BLOCK] = index.common_weight
+    index.block_max = np.zeros((len(common), blocks))
+    np.maximum.at(index.block_max, (index.common_of, entry[own] // BLOCK), index.common_weight)
+    entry, term, weight = entry[~own], term[~own], weight[~own]
+    order = np.argsort(term, kind="stable")
     index.entry_of, index.weight = entry[order], weight[order]
     index.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    index.block_max = np.zeros((len(terms), (len(entries) + BLOCK - 1) // BLOCK))
-    np.maximum.at(index.block_max, (term, entry // BLOCK), weight)
     votes = []
     for i, g in enumerate(entries):  # leave one example of the entry out, of its more frequent label
-        found, cosines, _ = index.nearest(g[0], g[1], NEAREST + 1)
+        own = slice(bounds[i], bounds[i + 1])
+        found, cosines, _ = index.nearest(column[own], x[own], NEAREST + 1)
         total, ones = index.total.copy(), index.ones.copy()
         total[i] -= 1
         ones[i] -= 1 if g[2] * 2 >= g[3] else 0
@@ -182,70 +249,36 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
 
 
 class Scorer:
-    """The index in one Python worker, with a filter in front of the vocabulary and a memory of vectors met before."""
+    """The index in one Python worker, with a memory of vectors met before."""
 
     def __init__(self, index: Index):
         self.index = index
-        self.maybe = np.zeros(1 << 16, dtype=bool)
-        self.maybe[(index.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.known: dict[bytes, tuple[float, list[int]]] = {}
 
-    def sparse(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(columns, counts) of each row."""
-        n = max(1, len(self.index.terms))
-        for a, b, row, hashes in terms_of(column):
-            hit = self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)]
-            row, hashes = row[hit], hashes[hit]
-            at = np.minimum(np.searchsorted(self.index.terms, hashes), n - 1)
-            hit = self.index.terms[at] == hashes if len(self.index.terms) else np.zeros(len(at), dtype=bool)
-            pair, counts = np.unique(row[hit] * n + at[hit], return_counts=True)
-            bounds = np.searchsorted(pair, np.arange(b - a + 1) * n)
-            for i in range(b - a):
-                yield pair[bounds[i] : bounds[i + 1]] % n, counts[bounds[i] : bounds[i + 1]]
-
-    def score(self, columns: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        key = columns.tobytes() + counts.tobytes()
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[key] = self.index.score(columns, counts)
-        return self.known[key]
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, ones, zeros): in how many rows of each label a term occurs, summed over a batch."""
-    for batch in batches:
-        label = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), dtype=np.int64)
-        found: list[np.ndarray] = []
-        for a, _, row, hashes in terms_of(batch.column("text")):
-            order = np.lexsort((row, hashes))
-            row, hashes = row[order], hashes[order]
-            new = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, dtype=bool)
-            found.append(np.stack([hashes[new], label[a + row[new]].astype(np.uint64)]))
-        if found:
-            hashes, ones = np.concatenate(found, axis=1)
-            terms, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            one = np.bincount(inverse, weights=ones.astype(float), minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(terms)), pa.array(one), pa.array(n - one)], names=["term", "ones", "zeros"])
-
-
-def _vectors(terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.array(terms.value, dtype=np.int64).view(np.uint64)
-        scorer = Scorer(Index(own, np.ones(len(own)), 0.0))
-        for batch in batches:
-            found = list(scorer.sparse(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([c.astype(np.uint16).tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())],
-                names=["doc_id", "toxic", "columns", "counts"],
-            )
+    def scores(self, column: pa.Array) -> Iterator[tuple[float, list[int]]]:
+        terms = self.index.terms
+        for hashes, counts in counts_of(column):
+            key = hashlib.blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest()
+            if key not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                at = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0))
+                hit = terms[at] == hashes if len(terms) else np.zeros(len(at), dtype=bool)
+                self.known[key] = self.index.score(at[hit], counts[hit], counts[~hit])
+            yield self.known[key]
 
-    return run
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = list(counts_of(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())],
+            names=["doc_id", "toxic", "terms", "counts"],
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index learned from the labelled rows of (doc_id, text); labels is (doc_id, toxic)."""
-    spark = docs.sparkSession
     clean = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic IN (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in clean.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = {1: 0.95 * max_examples * TOXIC_SHARE, 0: 0.95 * max_examples * (1 - TOXIC_SHARE)}
@@ -253,27 +286,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, wanted[1] / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, wanted[0] / max(1, sizes.get(0, 0)))))
     chosen = clean.where(place < share).limit(max_examples)  # at most max_examples rows of two numbers: small enough to broadcast
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    stats = sample.mapInArrow(_term_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").cast("double").alias("a"), F.sum("zeros").cast("double").alias("b")).where(F.col("a") + F.col("b") >= MIN_DF)
-    n1, n0 = (float(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    if not n1 or not n0:
-        return Index(np.zeros(0, np.uint64), np.zeros(0), (n1 + 0.01) / (n1 + n0 + 1) if n1 + n0 else 0.0)
-    a, b = F.col("a"), F.col("b")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b) * n1 * n0)
-    stats = materialise(stats, "toxicity-terms")
-    least = 2 * np.log(max(stats.count(), 1)) + 2  # the largest of m chi-squares by chance is about 2 ln m
-    vocabulary = stats.where(a + b < n1 + n0).withColumn("chi2", chi2).where(F.col("chi2") >= float(least)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term", (a + b).alias("df")).collect()
-    vocabulary.sort(key=lambda r: r["term"] % (1 << 64))
-    terms = [r["term"] for r in vocabulary]
-    rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(terms)), "doc_id long, toxic int, columns binary, counts binary").collect()
-    examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["columns"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)) for r in rows]
-    return build(np.array(terms, dtype=np.int64).view(np.uint64), np.array([r["df"] for r in vocabulary]), examples)
+    rows = sample.mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
+    n1, n = sum(r["toxic"] for r in rows), len(rows)
+    if not n1 or n1 == n:
+        return Index(np.zeros(0, np.uint64), np.zeros(0), (n1 + 0.01) / (n + 1) if n else 0.0)
+    ids, toxic = [r["doc_id"] for r in rows], [r["toxic"] for r in rows]
+    bounds = np.cumsum([len(r["counts"]) // 4 for r in rows])[:-1]
+    counts, hashes = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32), np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
+    del rows
+    terms = np.unique(hashes)
+    columns = np.searchsorted(terms, hashes).astype(np.int32)
+    del hashes
+    df = np.bincount(columns, minlength=len(terms))
+    return build(terms, df, list(zip(ids, toxic, np.split(columns, bounds), np.split(counts, bounds), strict=True)))
 
 
 def _score(index, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(index.value)
         for batch in batches:
-            found = [scorer.score(c, n) for c, n in scorer.sparse(batch.column("text"))]
+            found = list(scorer.scores(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=names)
 
     return run
@@ -281,7 +313,7 @@ def _score(index, names: list[str]):
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_TERMS terms and MAX_EXAMPLES entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES entries at most
     return docs.select("doc_id", "text").mapInArrow(_score(shared, ["doc_id", "score", "evidence"]), "doc_id long, score double, evidence array<bigint>")
 
 

@@ -209,3 +209,58 @@ def test_terms_cover_the_whole_text():
     long = "filler " * 400_000 + "needle"
     rows = [h for _, _, _, hashes in toxicity.terms_of(pa.array([long])) for h in hashes.tolist()]
     assert set(h for _, _, _, hashes in toxicity.terms_of(pa.array(["needle"])) for h in hashes.tolist()) <= set(rows)
+
+
+def weighed(texts, labels):
+    """Term weights of labelled texts and a function text -> unit vector, from plain words."""
+    terms = lambda t: [w for word in re.findall(r"[a-z0-9]+", t.lower()) for w in [word, *[(n, word[:n]) for n in toxicity.STEMS if len(word) > n]]]
+    n, n1 = len(texts), sum(labels)
+    ones, zeros = defaultdict(int), defaultdict(int)
+    for t, y in zip(texts, labels, strict=True):
+        for term in set(terms(t)):
+            (ones if y else zeros)[term] += 1
+    weight = {}
+    for t in {*ones, *zeros}:
+        a, b = ones[t], zeros[t]
+        spread = (a + b) * (n - a - b) * n1 * (n - n1)
+        weight[t] = (np.log((1 + n) / (1 + a + b)) + 1) * np.sqrt(max(1, n * (a * n - (a + b) * n1) ** 2 / spread if spread else 0))
+
+    def vector(text):
+        found = terms(text)
+        x = {t: (1 + np.log(found.count(t))) * weight.get(t, np.log(1 + n) + 1) for t in set(found)}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {t: v / norm for t, v in x.items()}
+
+    return vector
+
+
+@pytest.mark.parametrize("common", [3, 400])
+def test_toxicity_neighbours_over_whole_texts(spark, monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    rng = random.Random(4)
+    plain = lambda n: " ".join(f"word{rng.randrange(90)}" for _ in range(n))
+    rows = [(i, plain(rng.randrange(5, 40)), 0) for i in range(400)]
+    rows += [(400 + i, f"{plain(8)} scumbag grobian", 1) for i in range(60)]
+    rows += [(460 + i, f"rareslur{i} oddinsult{i} vilename{i}", 1) for i in range(20)]  # words of one toxic row each
+    copies = [(900 + i, rows[460 + i][1], 1) for i in range(20)]
+    queries = [*copies, (950, plain(3000) + " scumbag", 0), (951, "nothing known here but word7", 0), (952, plain(30), 0), (953, "unheard", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows + queries], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(index.block_max) > (9 if common == 3 else 0)
+    vector = weighed([t for _, t, _ in rows], [y for _, _, y in rows])
+    known = {frozenset((t, round(v, 9)) for t, v in e.items()): e for e in (vector(t) for _, t, _ in rows)}.values()  # equal vectors are one entry
+    asked = list(toxicity.counts_of(pa.array([t for _, t, _ in queries])))
+    for (_, text, _), (hashes, counts) in zip(queries, asked, strict=True):
+        hit = np.isin(hashes, index.terms)
+        columns = np.searchsorted(index.terms, hashes[hit])
+        if not len(columns):
+            continue
+        _, cosines, _ = index.nearest(columns, index.vector(columns, counts[hit], counts[~hit]))
+        q = vector(text)
+        want = sorted((c for e in known if (c := sum(v * e[t] for t, v in q.items() if t in e)) > 0), reverse=True)[: toxicity.NEAREST]
+        assert np.allclose(cosines, want)
+    found = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert all(found[i].evidence[0] == i - 440 for i, _, _ in copies)  # an exact copy of a labelled text finds it
+    assert min(found[i].score for i, _, _ in copies) > max(found[i].score for i in (950, 951, 952, 953))
+    assert found[950].score < 0.5
+    assert found[953].score == index.prior and not found[953].evidence
