@@ -8,7 +8,8 @@ with its label counts. Entries stand in blocks. Terms of at most ``COMMON`` entr
 the cosine is summed exactly; of the other terms the largest weight in each block bounds the rest. Blocks are opened from
 the highest bound down until no bound reaches the k-th best cosine: single-precision rows pick an opened block's entries,
 double precision decides, so these are the k nearest entries exactly. They vote with weight cosine squared; a logistic
-curve fitted on leave-one-out votes of the examples turns the vote into a probability. The nearest examples' doc_ids are
+curve fitted on leave-one-out votes of the examples turns the vote into a probability. Where the sample draws the labels
+at different shares, examples count by the inverse of their label's share, so a score means the same at every size. The nearest examples' doc_ids are
 the evidence.
 
 The driver receives at most ``MAX_EXAMPLES`` sparse vectors, as large as these examples' texts; executors get the index.
@@ -176,8 +177,8 @@ def _logistic(x: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[float
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-    """The index over (doc_id, label, columns, counts)."""
+def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], counted: tuple[float, float] = (1.0, 1.0)) -> Index:
+    """The index over (doc_id, label, columns, counts); an example of label 0 or 1 counts as so many in shares and votes."""
     by = np.argsort(terms)
     renamed = np.empty(len(terms), dtype=np.int32)
     renamed[by] = np.arange(len(terms))
@@ -197,8 +198,8 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
     spread = rows * (n - rows) * n1 * (n - n1)
     chi2 = np.divide(n * (n * ones - rows * n1) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
     idf = (np.log((1 + n) / (1 + df[by])) + 1) * np.sqrt(np.maximum(1, chi2))
-    bare_ones = sum(e[1] for e in bare)
-    index = Index(terms[by], idf, (bare_ones + 0.01) / (len(bare) + 1) if n else 0.0, float(np.log(1 + n) + 1))
+    bare_ones = sum(e[1] * counted[1] for e in bare)
+    index = Index(terms[by], idf, (bare_ones + 0.01) / (sum(counted[e[1]] for e in bare) + 1) if n else 0.0, float(np.log(1 + n) + 1))
     groups: dict[bytes, list] = {}
     x = np.zeros(len(column))
     for k, (a, m, e) in enumerate(zip(start.tolist(), size.tolist(), examples, strict=True)):
@@ -206,8 +207,8 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
         x[own] = index.vector(column[own], count[own])
         key = hashlib.blake2b(column[own].tobytes() + np.round(x[own], 12).tobytes(), digest_size=16).digest()
         g = groups.setdefault(key, [k, int(column[a + np.argmax(x[own])]), 0, 0, []])
-        g[2] += e[1]
-        g[3] += 1
+        g[2] += e[1] * counted[1]
+        g[3] += counted[e[1]]
         if len(g[4]) < 3:
             g[4].append(e[0])
     entries = sorted(groups.values(), key=lambda g: (g[1], size[g[0]], g[4]))
@@ -241,8 +242,9 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
         own = slice(bounds[i], bounds[i + 1])
         found, cosines, _ = index.nearest(column[own], x[own], NEAREST + 1)
         total, ones = index.total.copy(), index.ones.copy()
-        total[i] -= 1
-        ones[i] -= 1 if g[2] * 2 >= g[3] else 0
+        one = g[2] * 2 >= g[3]
+        total[i] -= counted[one]
+        ones[i] -= counted[1] if one else 0
         votes.append(index.vote(found, cosines, ones, total))
     index.slope, index.shift = _logistic(np.array(votes), index.ones, index.total)
     return index
@@ -283,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     sizes = {r["toxic"]: r["n"] for r in clean.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = {1: 0.95 * max_examples * TOXIC_SHARE, 0: 0.95 * max_examples * (1 - TOXIC_SHARE)}
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, wanted[1] / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, wanted[0] / max(1, sizes.get(0, 0)))))
+    shares = [min(1.0, wanted[y] / max(1, sizes.get(y, 0))) for y in (0, 1)]
+    share = F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     chosen = clean.where(place < share).limit(max_examples)  # at most max_examples rows of two numbers: small enough to broadcast
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     rows = sample.mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
@@ -298,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     columns = np.searchsorted(terms, hashes).astype(np.int32)
     del hashes
     df = np.bincount(columns, minlength=len(terms))
-    return build(terms, df, list(zip(ids, toxic, np.split(columns, bounds), np.split(counts, bounds), strict=True)))
+    stands = [1 / x for x in shares]  # labelled rows that an example stands for; on average 1, so that smoothing stays
+    mean = (n1 * stands[1] + (n - n1) * stands[0]) / n
+    return build(terms, df, list(zip(ids, toxic, np.split(columns, bounds), np.split(counts, bounds), strict=True)), (stands[0] / mean, stands[1] / mean))
 
 
 def _score(index, names: list[str]):

@@ -264,3 +264,12 @@ def test_toxicity_neighbours_over_whole_texts(spark, monkeypatch, common):
     assert min(found[i].score for i, _, _ in copies) > max(found[i].score for i in (950, 951, 952, 953))
     assert found[950].score < 0.5
     assert found[953].score == index.prior and not found[953].evidence
+
+
+def test_toxicity_scores_keep_the_share_of_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"word{rng.randrange(60)}" for _ in range(8)), int(i % 10 == 0)) for i in range(3000)]  # labels say nothing of texts
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, max_examples=600)  # a third of the examples are toxic, a tenth of the rows
+    assert abs(index.base - 0.1) < 0.02
+    assert abs(np.mean([r.score for r in toxicity.score(docs.limit(600), index).collect()]) - 0.1) < 0.05
