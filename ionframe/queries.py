@@ -533,6 +533,31 @@ def spaced_values(spark: SparkSession, d: str) -> DataFrame:
     return tracks.spaced_values(table(spark, d, "events"), "value", 9).select("pos", r("value").alias("value"))
 
 
+# ---------------------------------------------------------------- at the reference's parameters (the queries above follow their SQL's)
+
+
+@query()
+def recorded_tracks_reference(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.recorded(_tracks(spark, d)).select("particle_id", "seq")
+
+
+@query()
+def kde_grid_reference(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "lineitem").groupBy(F.round(F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").cast("double").alias("y")).agg((F.count(F.lit(1)) * 0.14).alias("w"))
+    return deposition.kde(points).select("gx", "gy", r("density", 9).alias("density"))
+
+
+@query()
+def neighbour_levels_reference(spark: SparkSession, d: str) -> DataFrame:
+    cells = bound_triangles(spark, d)
+    return mesh.neighbour_levels(cells.select("tri_id"), materialise(mesh.adjacency(cells), "adjacency"))
+
+
+@query()
+def distribution_shares_reference(spark: SparkSession, d: str) -> DataFrame:
+    return distribute.shares(bound_triangles(spark, d), neighbour_levels_reference(spark, d), 2)
+
+
 # ---------------------------------------------------------------- scalar functions and text
 
 

@@ -311,3 +311,26 @@ def test_kde_is_a_density(spark):
     d = x.T - g
     want = (w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))).sum() / w.sum() / (2 * math.pi * math.sqrt(np.linalg.det(c)))
     assert got[2, 2] == pytest.approx(want)
+
+
+def test_queries_at_the_reference_parameters(spark, tmp_path):
+    from ionframe.queries import QUERIES
+
+    d, rng = f"file://{tmp_path}", np.random.default_rng(5)
+    rows = [(v, [float(x) for x in rng.normal(size=48)]) for v in range(1, 20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(i, i % 70, i, 1.0) for i in range(210)], "event_id long, user_id long, ts long, value double").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(1000.0 * i, float(i * i % 7)) for i in range(1, 12)], "l_extendedprice double, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    assert QUERIES["recorded_tracks_reference"](spark, d).select("particle_id").distinct().count() == 70
+    assert QUERIES["kde_grid_reference"](spark, d).count() == 100 * 100
+    nodes = {v: [(v + 3) % 40, (v * 7 + 21) % 40, (v * 11 + 33) % 40] for v, _ in rows}
+    sides = {v: {tuple(sorted((n[i], n[j]))) for i, j in ((0, 1), (1, 2), (0, 2))} for v, n in nodes.items()}
+    want = {}
+    for v in nodes:
+        seen, front = {v: 0}, [v]
+        for level in range(1, 5):
+            front = sorted({b for a in front for b in nodes if sides[a] & sides[b]} - set(seen))
+            seen |= dict.fromkeys(front, level)
+        want |= {(v, b): n for b, n in seen.items()}
+    assert {(r.source, r.tri_id): r.level for r in QUERIES["neighbour_levels_reference"](spark, d).collect()} == want
+    assert {(r.source, r.target) for r in QUERIES["distribution_shares_reference"](spark, d).collect()} == set(want)
