@@ -24,10 +24,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a new local one on one machine and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="ionframe-")
@@ -46,6 +48,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one computation by name, each deleted when the computation says that no later read needs it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *[self.paths.pop(n) for n in names if n in self.paths])
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate folders that no later read needs."""
     for path in paths:
