@@ -6,7 +6,9 @@ Two documents link when den * intersection >= num * union. Nothing below drops a
 1. Equal sets are one class from here on (a node named by their digest), so copies of one text are one row however many.
 2. If A and B link, each holds at least ceil(num * size / den) of the other's shingles. So of the smallest hashes of A, a
    prefix as long as what B may miss plus l(A), at least min(l(A), l(B)) also stand in B's prefix. Prefix hashes meet by
-   hash in packed rows; a document fewer of whose prefix hashes are in any other's is out.
+   hash in packed rows; a document fewer of whose prefix hashes are in any other's is out. Documents of one batch meet
+   before the shuffle, which then gets two of them for a hash that several have, so a hash of a third of all documents is
+   a few rows. The number of parts follows the number of hashes, so a task's share stays bounded.
 3. Of the documents left, prefix hashes are counted again; each document takes its rarest ones, as many as its prefix has
    beyond what it must share there, plus one (those it has alone need no bucket), and sends the bitmap and size of its
    whole set to the bucket of each. A bucket of more than ``CHUNK`` documents is cut in chunks, and each pair of chunks is
@@ -19,9 +21,10 @@ Two documents link when den * intersection >= num * union. Nothing below drops a
    exactly, as products of 0/1 matrices, and a spanning forest of the true links is emitted; its components are the result.
 
 Defined results: null, empty and blank texts have 0 shingles and are their own component; a text of fewer than k words
-has its word sequence as its one shingle; repeated rows are copies; rows with one doc_id and different texts are documents
-of their own; a null doc_id is no smallest doc_id, so such rows have a null component only if no row with an id is in it;
-extra columns are ignored; an empty table gives no rows.
+has its word sequence as its one shingle; a very long text is one document with all its shingles; repeated rows are copies;
+rows with one doc_id and different texts are documents of their own; a null doc_id is no smallest doc_id, so such rows have
+a null component only if no row with an id is in it; ties cannot arise, as component ids are minima; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ from pyspark.sql import functions as F
 from ionframe.llm.components import components
 from ionframe.llm.textscan import LOWER, as_long, buffers, mix64, pieces, span_hashes, words
 from ionframe.llm.unionfind import Forest
-from ionframe.storage import materialise, partitions, table
+from ionframe.storage import Scratch, materialise, partitions, table
 
 K, NUM, DEN = 4, 85, 100
+WORD = r"[^\x20\x09-\x0D]"
 WORDS = 16  # 64-bit words of a bitmap
 CHUNK, FAN, PAIRS, COLUMNS = 4096, 8, 1 << 16, 4096
+PART_HASHES = 4_000_000  # prefix hashes of a part, about
 GROUP, SMALL, SPREAD = 1024, 128, 10  # documents of a chunk in step 5: at most, and where up to SPREAD chunks share a group
 SURPLUS = 0.12  # l(n) / n in step 2
 _SIZE = np.uint64(0xFFFFF)
@@ -71,8 +76,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
         count = np.diff(bounds)
         fold = np.full(len(h), np.uint64(k))
         for i in range(k):
-            moved = np.zeros_like(h)
-            moved[: len(h) - i] = h[i:]
+            moved = np.concatenate([h[i:], np.zeros(min(i, len(h)), np.uint64)])
             fold = mix64(fold * np.uint64(0x9DDFEA08EB382D69) + moved)
         out = []
         for i in range(b - a):
@@ -97,7 +101,7 @@ def digest(own: np.ndarray) -> tuple[int, int]:
     return int(as_long(np.add.reduce(mix64(own), keepdims=True))[0]), int(as_long(np.add.reduce(mix64(own ^ np.uint64(0xA0761D6478BD642F)), keepdims=True))[0])
 
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, prefix binary"
+SKETCH = "doc_id long, th long, n long, d1 long, d2 long, prefix binary"
 
 
 def _sketch(k: int, num: int, den: int):
@@ -109,8 +113,8 @@ def _sketch(k: int, num: int, den: int):
                 keys = [digest(s) for s in sets]
                 cut = prefix_length(n, num, den)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array([s[:c].tobytes() for s, c in zip(sets, cut, strict=True)], pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "prefix"],
+                    [batch.column("doc_id").slice(at, len(sets)), batch.column("th").slice(at, len(sets)), pa.array(n), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array([s[:c].tobytes() for s, c in zip(sets, cut, strict=True)], pa.binary())],
+                    names=["doc_id", "th", "n", "d1", "d2", "prefix"],
                 )
                 at += len(sets)
 
@@ -120,8 +124,8 @@ def _sketch(k: int, num: int, den: int):
 # Packed rows: many numbers for one part of the hash space in one row.
 
 
-def packed(part: np.ndarray, names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row (part, column...) for each part that occurs."""
+def packed(part: np.ndarray, names: list[str], columns: list[np.ndarray], absent: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """One row (part, column...) for each part that occurs; the columns ``absent`` are null."""
     if not len(part):
         return
     order = np.argsort(part, kind="stable")
@@ -130,11 +134,12 @@ def packed(part: np.ndarray, names: list[str], columns: list[np.ndarray]) -> Ite
     ends = np.r_[first[1:], len(part)]
     moved = [np.ascontiguousarray(c[order]) for c in columns]
     cells = [pa.array([m[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for m in moved]
-    yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *cells], names=["part", *names])
+    cells += [pa.nulls(len(first), pa.binary()) for _ in absent]
+    yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *cells], names=["part", *names, *absent])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], types: dict[str, type]) -> dict[str, np.ndarray]:
-    """All numbers of a task's packed rows."""
+    """All numbers of a task's packed rows; parts are as many as bounds them."""
     found: dict[str, list[bytes]] = {name: [] for name in types}
     for batch in batches:
         for name in types:
@@ -146,30 +151,59 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
+MET = {"hash": np.uint64, "ref": np.uint64, "seen": np.uint8, "who": np.uint64, "met": np.int64}
+MET_ROWS = "part int, hash binary, ref binary, seen binary, who binary, met binary"
+
+
+def meetings(h: np.ndarray, r: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (hash, ref) rows: distinct ones in order; whether a hash has several refs; whether a row was counted before."""
+    order = np.lexsort((r, h))
+    h, r, seen = h[order], r[order], seen[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
+    counted = np.maximum.reduceat(seen, first)
+    h, r = h[first], r[first]
+    beside = h[1:] == h[:-1]
+    return np.stack([h, r]), np.r_[False, beside] | np.r_[beside, False], counted.astype(bool)
+
+
 def _prefix_rows(parts: int):
+    """Rows (hash, ref, seen) for the shuffle by hash, and (who, met): how many hashes a ref shares with others of its batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column("n"))
             ref = (np.asarray(batch.column("d1")).view(np.uint64) & ~_SIZE) | np.minimum(n, int(_SIZE)).astype(np.uint64)
             found = batch.column("prefix").to_pylist()
             hashes = np.frombuffer(b"".join(found), np.uint64)
-            yield from packed(part_of(hashes, parts), ["hash", "ref"], [hashes, np.repeat(ref, [len(x) // 8 for x in found])])
+            if not len(hashes):
+                continue
+            (h, r), several, _ = meetings(hashes, np.repeat(ref, [len(x) // 8 for x in found]), np.zeros(len(hashes), np.uint8))
+            who, met = np.unique(r[several], return_counts=True)
+            # two refs of a hash are enough for other batches' refs to find a partner there
+            again = np.r_[False, h[1:] == h[:-1]]
+            third = again & np.r_[False, again[:-1]]
+            sent = ~third
+            yield from packed(part_of(h[sent], parts), ["hash", "ref", "seen"], [h[sent], r[sent], several[sent].astype(np.uint8)], ("who", "met"))
+            yield from packed(part_of(who, parts), ["who", "met"], [who, met.astype(np.int64)], ("hash", "ref", "seen"))
 
-    return run
+    order = [x.split()[0] for x in MET_ROWS.split(", ")]
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.select(order)
+
+    return ordered
 
 
 def _met(parts: int):
-    """Of the (hash, ref) of a part, in how many hashes each ref meets another."""
+    """In how many hashes each ref meets another, as far as one task or batch sees it: (ref, met) by ref."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpacked(batches, {"hash": np.uint64, "ref": np.uint64})
-        order = np.lexsort((x["ref"], x["hash"]))
-        h, r = x["hash"][order], x["ref"][order]
-        if len(h):
-            new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
-            h, r = h[new], r[new]
-            beside = h[1:] == h[:-1]
-            refs, n = np.unique(r[np.r_[False, beside] | np.r_[beside, False]], return_counts=True)
+        x = unpacked(batches, MET)
+        yield from packed(part_of(x["who"], parts), ["ref", "met"], [x["who"], x["met"]])
+        if len(x["hash"]):
+            (_, r), several, counted = meetings(x["hash"], x["ref"], x["seen"])
+            refs, n = np.unique(r[several & ~counted], return_counts=True)
             yield from packed(part_of(refs, parts), ["ref", "met"], [refs, n.astype(np.int64)])
 
     return run
@@ -198,14 +232,17 @@ SETS = "node long, n long, own binary, bits binary"
 
 
 def _sets(k: int):
-    """The whole sets of the rows whose text still is the class's."""
+    """The whole sets of the classes' rows, once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            wanted = list(zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True))
+            at, nodes, emitted = 0, batch.column("d1").to_pylist(), set()
             for sets in shingle_sets(batch.column("text"), k):
-                rows = [(wanted[at + i][0], s) for i, s in enumerate(sets) if digest(s) == wanted[at + i]]
+                rows = []
+                for node, own in zip(nodes[at : at + len(sets)], sets, strict=True):
+                    if node not in emitted:
+                        emitted.add(node)
+                        rows.append((node, own))
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([bitmap(r[1]).tobytes() for r in rows], pa.binary())],
@@ -298,11 +335,11 @@ class Tree:
         self.bits, self.low, self.high, self.slack = [bits], [n], [n], [slack]
         self.first: list[np.ndarray] = [np.arange(len(n) + 1)]
         while True:
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            if len(start) == len(key) and len(self.bits) > 1:
+            heads_of = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            if len(heads_of) == len(key) and len(self.bits) > 1:
                 return
-            size = np.diff(np.r_[start, len(key)])
-            within = np.arange(len(key)) - np.repeat(start, size)
+            size = np.diff(np.r_[heads_of, len(key)])
+            within = np.arange(len(key)) - np.repeat(heads_of, size)
             heads = np.flatnonzero(within % FAN == 0)
             self.first.append(np.r_[heads, len(key)])
             self.bits.append(np.bitwise_or.reduceat(self.bits[-1], heads, axis=0))
@@ -433,45 +470,61 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(texts.mapInArrow(_sketch(k, num, den), SKETCH), "sketch")
-    classes = materialise(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "set-classes")
+def _parts(sketch: DataFrame, num: int, den: int) -> int:
+    """How many parts the hash space is dealt in: as many as the session's partitions, and more where hashes are many."""
+    prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * num / den) + F.greatest(F.lit(1), F.col("n") * SURPLUS))
+    total = sketch.agg(F.sum(prefix)).first()[0] or 0
+    return max(partitions(sketch.sparkSession), int(total) // PART_HASHES)
+
+
+def _rows_and_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, d1, d2), and per class (d1, d2, n) its component, that component's least doc_id, and the least row of the class."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    sketch = scratch.table(texts.mapInArrow(_sketch(k, num, den), SKETCH), "sketch")
+    parts = _parts(sketch, num, den)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = scratch.table(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(least.alias("x")).select("d1", "d2", "n", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("rep_th")), "set-classes")
 
-    meet = sketch.where("n > 0").select("n", "d1", "prefix").mapInArrow(_prefix_rows(parts), "part int, hash binary, ref binary")
+    meet = sketch.where("n > 0").select("n", "d1", "prefix").mapInArrow(_prefix_rows(parts), MET_ROWS)
     met = meet.repartition(parts, "part").mapInArrow(_met(parts), "part int, ref binary, met binary")
-    left = met.repartition(parts, "part").mapInArrow(_enough(num, den), "ref long")
-    left = materialise(left, "set-survivors")
+    left = scratch.table(met.repartition(parts, "part").mapInArrow(_enough(num, den), "ref long"), "set-survivors")
 
     size = int(_SIZE)
     ref = F.col("d1").bitwiseAND(F.lit(~size)).bitwiseOR(F.least("n", F.lit(size)))
-    reps = classes.withColumn("_ref", ref).join(left, F.col("_ref") == F.col("ref"), "left_semi").where("rep IS NOT NULL").select("rep", "d1", "d2")
-    # one strategy at every size: texts meet the chosen ids by a shuffle, never by a broadcast of what grows
-    chosen = texts.join(materialise(reps, "set-reps").hint("merge"), F.col("doc_id") == F.col("rep")).select("text", "d1", "d2")
-    sets = materialise(chosen.mapInArrow(_sets(k), SETS), "sets")
+    reps = scratch.table(classes.withColumn("_ref", ref).join(left, F.col("_ref") == F.col("ref"), "left_semi").select("rep", "rep_th", "d1"), "set-reps")
+    # one strategy at every size: texts meet the chosen rows by a shuffle, never by a broadcast of what grows
+    chosen = texts.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "d1")
+    sets = scratch.table(chosen.mapInArrow(_sets(k), SETS), "sets")
 
     returned = sets.select("node", "n", "own").mapInArrow(_set_rows(parts, num, den), "part int, hash binary, doc binary").repartition(parts, "part").mapInArrow(_frequencies(parts), "part int, doc binary, hash binary, df binary")
     owners = sets.select("node", "n", "bits").mapInArrow(_part_column(parts), "part int, own_doc binary, own_n binary, own_bits binary")
     buckets = returned.unionByName(owners, allowMissingColumns=True).repartition(parts, "part").mapInArrow(_buckets(parts, num, den), "part int, key binary, doc binary, n binary, bits binary")
-    maybe = materialise(buckets.repartition(parts, "part").mapInArrow(_traverse(num, den), "a long, b long"), "candidates")
+    maybe = scratch.table(buckets.repartition(parts, "part").mapInArrow(_traverse(num, den), "a long, b long"), "candidates")
 
     groups = components(maybe).withColumnRenamed("node", "doc")
     sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.least(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) / SMALL))).cast("int").alias("chunks"))
-    placed = materialise(groups.join(sizes, "component").select("doc", F.col("component").alias("comp"), "chunks"), "candidate-groups")
+    placed = scratch.table(groups.join(sizes, "component").select("doc", F.col("component").alias("comp"), "chunks"), "candidate-groups")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = sets.join(placed.hint("merge"), F.col("node") == F.col("doc")).withColumn("own_chunk", own).select("node", "own", "comp", "own_chunk", other.alias("other")).select("node", "own", "comp", F.least("own_chunk", "other").alias("i"), F.greatest("own_chunk", "other").alias("j"))
-    true = materialise(tiles.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").select("comp", "i", "j", "node", "own").mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
+    true = scratch.table(tiles.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").select("comp", "i", "j", "node", "own").mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
 
     found = components(true).withColumnRenamed("node", "doc")
-    member = materialise(classes.join(found, F.col("d1") == F.col("doc")).select("doc", "component", "rep"), "set-members")
-    least = materialise(member.groupBy("component").agg(F.min("rep").alias("least")), "set-least")
-    linked_rows = member.join(least, "component").select("doc", "least")
-    named = materialise(classes.join(linked_rows, F.col("d1") == F.col("doc"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("least", "rep").alias("component")), "set-components")
-    return sketch.join(named.hint("merge"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    member = scratch.table(classes.join(found, F.col("d1") == F.col("doc"), "left").select("d1", "d2", "n", F.coalesce("component", "d1").alias("component"), "rep", "rep_th"), "set-members")
+    ids = scratch.table(member.groupBy("component").agg(F.min("rep").alias("least")), "set-least")
+    named = scratch.table(member.join(ids, "component"), "set-components")
+    rows = scratch.table(sketch.select("doc_id", "th", "n", "d1", "d2"), "set-rows")
+    scratch.drop_all_but("set-components", "set-rows")
+    return rows, named
+
+
+def jaccard_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id."""
+    rows, named = _rows_and_classes(docs, k, num, den)
+    classes = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), "least")
+    same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en"))
+    return rows.join(classes.hint("merge"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,11 +532,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that hold the smallest doc_id of their component, once each; rows with a null doc_id all stay."""
-    kept = jaccard_components(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.where("doc_id IS NOT NULL").join(materialise(kept, "kept-ids"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return named.withColumn("_place_", place).where("_place_ = 1").drop("_place_").unionByName(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` per component, with its own columns: the smallest doc_id (a null one last), of rows with that id and
+    different texts the one with the smaller text hash, of equal rows one. Texts without words link with nothing and all stay."""
+    _, named = _rows_and_classes(docs, k, num, den)
+    rank = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_th"))
+    kept = materialise(named.groupBy("component").agg(rank.alias("x")).select(F.col("x.rep").alias("_kept_id"), F.col("x.rep_th").alias("_kept_th")), "kept-rows")
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_worded"))
+    named_rows = whole.where("_worded").join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_th") == F.col("_kept_th")), "left_semi")
+    place = F.row_number().over(W.partitionBy("_id", "_th").orderBy(F.to_json("_row")))
+    one = named_rows.withColumn("_place", place).where("_place = 1").select("_row")
+    return one.unionByName(whole.where("NOT _worded").select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

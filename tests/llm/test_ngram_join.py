@@ -67,6 +67,77 @@ def test_matches_brute_force(spark, k, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str) == brute(rows, k, num)
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w[:n]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+@pytest.mark.parametrize("n", range(7))
+def test_few_words_in_a_whole_piece(k, n):
+    """A piece whose rows have fewer words than a shingle in all."""
+    text = " ".join(["one", "two", "three", "four", "five", "six"][:n])
+    (one,) = next(J.shingle_sets(pa.array([text]), k))
+    assert len(one) == min(n, max(1, n - k + 1))
+    same, upper, none = next(J.shingle_sets(pa.array([text, text.upper(), None]), k))
+    assert same.tolist() == upper.tolist() == one.tolist() and not len(none)
+
+
+def test_a_table_of_two_words(spark):
+    assert J.jaccard_components(frame(spark, [(1, "hello world")])).collect() == [(1, 1, 1)]
+
+
+def test_links_through_rows_without_an_id(spark):
+    base = [f"v{i}" for i in range(100)]
+    change = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(base))
+    rows = [(5, change()), (None, change(99)), (None, change(99)), (9, change(99, 98, 97, 96)), (11, change(0, 1, 2, 3))]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(frame(spark, rows)).collect()), key=str)
+    assert found == brute(rows) and found[-1] == (None, 97, 5)
+    assert [r.doc_id for r in J.first_of_each(frame(spark, rows)).collect()] == [5]
+    alone = J.first_of_each(frame(spark, rows[1:3])).collect()
+    assert [(r.doc_id, r.text) for r in alone] == [rows[1]]
+
+
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, ""), (3, "")]
+    kept = sorted((r.doc_id, r.text) for r in J.first_of_each(frame(spark, rows)).collect())
+    assert kept == [(1, "a b c d e f g"), (1, "h i j k l m n"), (3, ""), (3, "")]
+
+
+def test_words_that_swap_letters_regularly_differ(spark):
+    rows = [(i, t) for i, n in enumerate((1024, 2048, 4096)) for t in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    found = J.jaccard_components(frame(spark, rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == [(i, 1, i) for i in range(6)]
+
+
+def test_pieces_of_a_batch(monkeypatch):
+    """Sets do not depend on how a batch is cut, down to one row a piece."""
+    texts = pa.array([t for _, t in near_copies(3)[:40] + EDGE[:12]])
+    whole = [s.tolist() for sets in J.shingle_sets(texts, 4) for s in sets]
+    real = J.pieces
+    monkeypatch.setattr(J, "pieces", lambda offsets: real(offsets, 1))
+    assert [s.tolist() for sets in J.shingle_sets(texts, 4) for s in sets] == whole
+
+
+def test_batches_meet_before_the_shuffle():
+    """A hash of all documents of a batch is sent twice, and no document loses a meeting."""
+    parts = 2
+    own = [np.sort(np.r_[np.uint64(7), np.uint64(1000 + i), np.uint64(2000 + i // 2)].astype(np.uint64)) for i in range(20)]
+    batches = [pa.RecordBatch.from_pylist([{"n": 3, "d1": (i + 1) << 20, "prefix": own[i].tobytes()} for i in some]) for some in (range(12), range(12, 19), [19])]
+    sent = [r for b in batches for x in J._prefix_rows(parts)(iter([b])) for r in x.to_pylist()]
+    assert sum(np.count_nonzero(np.frombuffer(r["hash"], np.uint64) == 7) for r in sent if r["hash"]) == 5
+    kinds = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in J.MET]])
+    met = [r for p in range(parts) for b in J._met(parts)(iter([pa.RecordBatch.from_pylist([r for r in sent if r["part"] == p], schema=kinds)])) for r in b.to_pylist()]
+    total = {}
+    for r in met:
+        for ref, n in zip(np.frombuffer(r["ref"], np.uint64).tolist(), np.frombuffer(r["met"], np.int64).tolist(), strict=True):
+            total[ref >> 20] = total.get(ref >> 20, 0) + n
+    assert total == {i + 1: 2 for i in range(20)}
+
+
 def test_empty_and_first_of_each(spark):
     assert J.jaccard_components(frame(spark, [])).count() == 0
     rows = near_copies(1)[:30] + [(2, near_copies(1)[2][1])]
