@@ -6,17 +6,22 @@ A text, with a space put before it and spaces written as U+2581, is cut where no
 a space that follows another character, around line feeds, and before punctuation that no piece has after an ASCII
 letter or digit (derived from the vocabulary when the model is opened). Cutting and hashing the parts runs over the bytes
 of a whole Arrow batch. The distinct parts of a batch are encoded together: one flat array of symbols, and in each round
-the pair of the smallest rank in each word, leftmost of equals, is merged in all words at once and the array compacted,
-until no pair is left. Characters outside the vocabulary become byte pieces. A text is then the sum of its parts: their
-ids and the bytes they decode to, gathered from a cache of bounded size in the Python worker.
-
-Defined results: a null text is an empty text and gives no ids; repeated rows are encoded alike; extra columns are
-ignored; an empty table gives no rows.
+the pairs of the smallest rank in each word, leftmost first and none overlapping, are merged in all words at once and the
+array compacted, until no pair is left. A merge can make a pair that does not rank after it, which would then go before the
+word's other pairs of the rank; so of several in a word those after the first such merge wait. Parts of more than ``LONG`` symbols would need a round for each rank over their whole length: they stay in place, linked by arrays of
+neighbours, and a round touches only the pairs of its rank. Characters outside the vocabulary become byte pieces. A text
+is then the sum of its parts: their ids and the bytes they decode to, gathered from a cache of bounded size in the Python
+worker. A part is found there by hash and confirmed by its bytes, so parts with one hash never share ids.
+
+Defined results: a null text is an empty text and gives no ids; a very long text, and a very long word, is encoded whole;
+repeated rows are encoded alike; of equal ranks the leftmost pair goes first; extra columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -33,6 +38,18 @@ SPACE = "▁"
 PUNCTUATION = ".,;:!?|*#%&)]}\"'/"
 ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 CACHE_WORDS, CHUNK_WORDS, ROWS = 400_000, 20_000, 4096
+#: Symbols of a part beyond which its rounds go by rank over linked places; bytes of the cache after which it starts anew.
+LONG, CACHE_BYTES = 256, 1 << 28
+
+
+NEVER = np.iinfo(np.int64).max  # the rank of a pair that is no piece
+
+
+def _every_other(joined: np.ndarray) -> np.ndarray:
+    """Of places in order, where ``joined`` says that a place's pair overlaps the one before: the first, third.. of each chain."""
+    place = np.arange(len(joined))
+    head = np.maximum.accumulate(np.where(joined, 0, place))
+    return (place - head) % 2 == 0
 
 
 class PieceModel:
@@ -122,45 +139,121 @@ class PieceModel:
         symbols[other] = self.base - 1  # pairs with it are in no table
         plain = np.where(other, points, 0)
         word = np.repeat(np.arange(len(texts)), lengths)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        worst = np.iinfo(np.int64).max
-        rank, merged = np.full(len(symbols), worst), np.zeros(len(symbols), dtype=np.int64)
+        short = (lengths <= LONG)[word]
+        done = self._rounds(word[short], symbols[short], plain[short])
+        if not short.all():
+            done.append(self._rounds_by_rank(word[~short], symbols[~short], plain[~short]))
+        if not done:
+            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        word, symbols, plain = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, symbols, plain = word[order], symbols[order], plain[order]
+        return self._with_bytes(word, symbols, plain, len(texts))
+
+    def _pairs(self, word: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of each symbol with the next one of its word."""
+        rank, merged = np.full(len(symbols), NEVER), np.zeros(len(symbols), dtype=np.int64)
         if len(symbols) > 1:
             rank[:-1], merged[:-1] = self.ranks_of(symbols[:-1], symbols[1:])
-            rank[:-1][word[:-1] != word[1:]] = worst
+            rank[:-1][word[:-1] != word[1:]] = NEVER
+        return rank, merged
+
+    def _in_turn(self, at: np.ndarray, left: np.ndarray, joined: np.ndarray, right: np.ndarray, word: np.ndarray, symbols: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        """Which of a round's merges go now: in each word all up to the first that makes a pair not ranking after it.
+
+        ``left`` and ``right`` are the neighbours' places; where ``joined``, the left one is the product of the merge before.
+        """
+        n, made = len(symbols), merged[at]
+        beside = np.maximum(left, 0)
+        before = np.where(joined, np.r_[0, made[:-1]], symbols[beside])
+        inside = np.minimum(right, n - 1)
+        low = (left >= 0) & (word[beside] == word[at]) & (self.ranks_of(before, made)[0] <= rank[at])
+        low |= (right < n) & (word[inside] == word[at]) & (self.ranks_of(made, symbols[inside])[0] <= rank[at])
+        count = np.cumsum(low) - low
+        first = np.flatnonzero(np.r_[True, word[at][1:] != word[at][:-1]])
+        return count == np.repeat(count[first], np.diff(np.r_[first, len(at)]))
+
+    def _rounds(self, word: np.ndarray, symbols: np.ndarray, plain: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Merge rounds over flat arrays: each word's pairs of its smallest rank, then compaction; words without a pair are done."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, merged = self._pairs(word, symbols)
         while len(symbols):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.minimum.reduceat(rank, first)
             counts = np.diff(np.r_[first, len(word)])
-            finished = np.repeat(lowest == worst, counts)
+            finished = np.repeat(lowest == NEVER, counts)
             if finished.any():
                 done.append((word[finished], symbols[finished], plain[finished]))
                 live = ~finished
                 word, symbols, plain, rank, merged = word[live], symbols[live], plain[live], rank[live], merged[live]
-                first = None
                 if not len(symbols):
                     break
-                lowest, counts = lowest[lowest != worst], counts[lowest != worst]
-                first = np.r_[0, np.cumsum(counts)[:-1]]
-            best = np.flatnonzero(rank == np.repeat(lowest, counts))
-            at = best[np.r_[True, word[best][1:] != word[best][:-1]]]  # the leftmost in each word
+                lowest, counts = lowest[lowest != NEVER], counts[lowest != NEVER]
+            at = np.flatnonzero(rank == np.repeat(lowest, counts))
+            if len(at) > len(counts):
+                at = at[_every_other(np.r_[False, at[1:] == at[:-1] + 1])]
+                at = at[self._in_turn(at, at - 1, np.r_[False, at[1:] == at[:-1] + 2], at + 2, word, symbols, rank, merged)]
             symbols[at] = merged[at]
             keep = np.ones(len(symbols), dtype=bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))  # one symbol before each went away in the earlier words
+            at = at - np.arange(len(at))  # one symbol went away for each pair before
             word, symbols, plain, rank, merged = word[keep], symbols[keep], plain[keep], rank[keep], merged[keep]
             for left in (at[at > 0] - 1, at):
-                inside = left[left + 1 < len(word)]
-                inside = inside[word[inside] == word[inside + 1]]
-                alone = np.setdiff1d(left, inside, assume_unique=True)
-                rank[inside], merged[inside] = self.ranks_of(symbols[inside], symbols[inside + 1])
-                rank[alone] = worst
-        if not done:
-            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        word, symbols, plain = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        word, symbols, plain = word[order], symbols[order], plain[order]
-        return self._with_bytes(word, symbols, plain, len(texts))
+                last = left + 1 >= len(word)
+                beside = np.where(last, left, left + 1)
+                rank[left], merged[left] = self.ranks_of(symbols[left], symbols[beside])
+                rank[left[last | (word[left] != word[beside])]] = NEVER
+        return done
+
+    def _rounds_by_rank(self, word: np.ndarray, symbols: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same rounds for long words: the places of each rank wait under it, and a round takes those of the smallest."""
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours; n and -1: none
+        alive = np.ones(n, dtype=bool)
+        rank, merged = self._pairs(word, symbols)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NEVER]
+            if not len(at):
+                return
+            order = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+                r = int(rank[order[a]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(order[a:b])
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                every, at = at, at[_every_other(np.r_[False, at[1:] == after[at[:-1]]])]
+                end = after[after[at]]
+                turn = self._in_turn(at, before[at], np.r_[False, at[1:] == end[:-1]], end, word, symbols, rank, merged)
+                at = at[turn]
+                if not turn.all():
+                    wait(np.setdiff1d(every, at, assume_unique=True))
+            gone = after[at]
+            symbols[at] = merged[at]
+            alive[gone] = False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            changed = np.unique(np.r_[at, before[at][before[at] >= 0]])
+            last = after[changed] >= n
+            beside = np.where(last, changed, np.minimum(after[changed], n - 1))
+            rank[changed], merged[changed] = self.ranks_of(symbols[changed], symbols[beside])
+            rank[changed[last | (word[changed] != word[beside])]] = NEVER
+            wait(changed)
+        return word[alive], symbols[alive], plain[alive]
 
     def _with_bytes(self, word: np.ndarray, symbols: np.ndarray, plain: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that are no piece as the bytes of their characters."""
@@ -200,6 +293,9 @@ class Store:
         self.lengths = np.r_[self.lengths, lengths]
         self.used += len(data)
 
+    def get(self, place: int) -> bytes:
+        return self.blob[self.starts[place] : self.starts[place] + self.lengths[place]].tobytes()
+
 
 class Codec:
     """A model with its cache of encoded parts, found by their 64-bit hash, in one Python worker."""
@@ -211,12 +307,13 @@ class Codec:
     def _forget(self) -> None:
         self.hashes, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.tokens = np.zeros(0, dtype=np.int64)
-        self.csv, self.back = Store(), Store()
+        self.raw, self.csv, self.back = Store(), Store(), Store()
+        self.twins: dict[bytes, int] = {}  # places of parts whose hash is another part's
 
     def _places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each part in the cache; parts not seen before are encoded first."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > CACHE_WORDS:
+        if len(self.place) + len(distinct) > CACHE_WORDS or self.csv.used > CACHE_BYTES:
             self._forget()
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), dtype=bool)
@@ -224,18 +321,36 @@ class Codec:
         known[inside] = self.hashes[at[inside]] == distinct[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
             spans = first[new]
-            words = [raw[s:e].decode("utf-8", "replace").replace(" ", SPACE) for s, e in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)]
-            self._learn(words)
-            self.place = np.insert(self.place, at[new], len(self.place) + np.arange(len(new)))
+            self.place = np.insert(self.place, at[new], len(self.tokens) + np.arange(len(new)))
+            self._learn([data[s:e].tobytes() for s, e in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
             self.hashes = np.insert(self.hashes, at[new], distinct[new])
             at = np.searchsorted(self.hashes, distinct)
-        return self.place[at][inverse]
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), CHUNK_WORDS):
-            ids, ends = self.model.encode_words(words[i : i + CHUNK_WORDS])
+        found = self.place[at][inverse]
+        for i in np.flatnonzero(~self._equal(found, data, starts, ends)):  # another part with this hash came first
+            own = data[starts[i] : ends[i]].tobytes()
+            if own not in self.twins:
+                self.twins[own] = len(self.tokens)
+                self._learn([own])
+            found[i] = self.twins[own]
+        return found
+
+    def _equal(self, place: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the parts, which tile ``data``, have the bytes kept at their places."""
+        size = ends - starts
+        same = self.raw.lengths[place] == size
+        if not same.all():
+            return np.array([s and self.raw.get(p) == data[a:b].tobytes() for s, p, a, b in zip(same.tolist(), place.tolist(), starts.tolist(), ends.tolist(), strict=True)], dtype=bool)
+        kept, at = _gather(self.raw.blob, self.raw.starts[place], size)
+        differ = np.flatnonzero(kept != data)
+        same[np.searchsorted(at, differ, side="right") - 1] = False
+        return same
+
+    def _learn(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), CHUNK_WORDS):
+            raw = parts[i : i + CHUNK_WORDS]
+            self.raw.append(b"".join(raw), np.array([len(x) for x in raw], dtype=np.int64))
+            ids, ends = self.model.encode_words([x.decode("utf-8", "replace").replace(" ", SPACE) for x in raw])
             as_list = ids.tolist()
             ends = np.r_[0, ends]
             for store, spelling, width in ((self.csv, self.model.csv, self.model.csv_len), (self.back, self.model.decoded, self.model.decoded_len)):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pyarrow as pa
@@ -33,6 +34,50 @@ def test_codec_is_the_library(library):
         assert bytes(back).decode("utf-8", "replace") == library.decode(ids), t
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w[:n]
+
+
+def same_as_library(library, some):
+    for t, (n, csv, back) in zip(some, S.Codec(S.default_model()).rows(pa.array(some)), strict=True):
+        ids = library.encode(t)
+        assert n == len(ids) and [int(x) for x in bytes(csv).split(b",")[:-1]] == ids, t[:80]
+        assert bytes(back).decode("utf-8", "replace") == library.decode(ids), t[:80]
+
+
+def test_regular_words_keep_their_own_ids(library):
+    swap = str.maketrans("ab", "ba")
+    same_as_library(library, [t for n in (64, 1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n).translate(swap))])
+
+
+def test_parts_of_one_hash_keep_their_own_ids(library, monkeypatch):
+    real = S.span_hashes
+    monkeypatch.setattr(S, "span_hashes", lambda *a: real(*a) % 5)
+    same_as_library(library, texts()[:400])
+
+
+@pytest.mark.parametrize("long", [0, 4, 10_000])
+def test_both_kinds_of_rounds(library, monkeypatch, long):
+    monkeypatch.setattr(S, "LONG", long)
+    rng = random.Random(9)
+    runs = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for letters in ("a", "ab", "the ", "aeiouth", "x0=/", "èé漢🙂a") for _ in range(25)]
+    same_as_library(library, runs + texts()[:300])
+
+
+def test_a_megabyte_without_spaces(library):
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    word = "".join(rng.choices(letters, k=1_000_000))
+    codec = S.Codec(S.default_model())
+    began = time.perf_counter()
+    ((n, csv, _),) = codec.rows(pa.array([word]))
+    assert time.perf_counter() - began < 30
+    assert [int(x) for x in bytes(csv).split(b",")[:-1]] == library.encode(word) and n > 100_000
+
+
 def test_cache_bound(monkeypatch):
     monkeypatch.setattr(S, "CACHE_WORDS", 40)
     small, large = S.Codec(S.default_model()), S.Codec(S.default_model())
