@@ -5,20 +5,23 @@ makes the example vectors, over every term of their texts: tf-idf times the root
 (1 at least, so no term is dropped), scaled to length 1 over all terms of the text. A text's vector is scaled over all its
 terms too; one that no example has weighs as a term of no document. Examples with one and the same vector are one entry
 with its label counts. Entries stand in blocks. Terms of at most ``COMMON`` entries have postings, from which their part of
-the cosine is summed exactly; of the other terms the largest weight in each block bounds the rest. Blocks are opened from
-the highest bound down until no bound reaches the k-th best cosine: single-precision rows pick an opened block's entries,
+the cosine is summed exactly; of the other terms the largest weight in each block bounds the rest. A text first opens its
+``FIRST`` blocks of the highest bounds, then every block whose bound reaches the k-th best cosine found there. Texts are
+taken ``BATCH`` at a time, and a block's single-precision product is one for all texts that open it. It picks entries,
 double precision decides, so these are the k nearest entries exactly. They vote with weight cosine squared; a logistic
 curve fitted on leave-one-out votes of the examples turns the vote into a probability. Where the sample draws the labels
-at different shares, examples count by the inverse of their label's share, so a score means the same at every size. The nearest examples' doc_ids are
-the evidence.
+at different shares, examples count by the inverse of their label's share, so a score means the same at every size. The
+nearest examples' doc_ids are the evidence.
 
-The driver receives at most ``MAX_EXAMPLES`` sparse vectors, as large as these examples' texts; executors get the index.
-Every document is scored over its whole text.
+The driver receives at most ``max_examples`` sparse vectors, as large as these examples' texts, however often a labelled
+doc_id is repeated; executors get the index. Every document is scored over its whole text.
 
 Defined results: a text without any term of an example (also an empty or null one) gets the smoothed share of label 1
 among examples without a term; without a labelled row, or with one label only, every score is the smoothed share of label 1 (0 of
-0: 0); of several labels of one doc_id the largest counts; a null doc_id is not held out and never trains; repeated rows
-are scored alike; an empty table gives no rows.
+0: 0); of several labels of one doc_id the largest counts; labelled rows with one doc_id and one text are one example, with
+different texts several; examples of equal cosine count in the order of their entries; a null doc_id is not held out and
+never trains; repeated rows are scored alike; a very long text is scored over all its terms; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +38,14 @@ from pyspark.sql import functions as F
 
 from ionframe.llm.langid import held_out
 from ionframe.llm.textscan import buffers, pieces, span_hashes, words
-from ionframe.storage import table
+from ionframe.storage import materialise, table
 
 MAX_EXAMPLES, TOXIC_SHARE = 6000, 1 / 3
 NEAREST, BLOCK, SMOOTHING = 15, 64, 0.5
 STEMS = (4, 5, 6)
-#: Terms of more entries have rows instead of postings; no single-precision cosine is off by more than SLACK.
-COMMON, SLACK = 400, 1e-4
+#: Terms of more entries have rows instead of postings, the ROWS most frequent of them at most.
+COMMON, ROWS = 400, 2048
+FIRST, BATCH = 4, 64
 #: Bytes that end a word: ASCII but letters and digits.
 NO_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
@@ -72,7 +76,9 @@ def counts_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1, .. of each span, one span after the other."""
     ends = np.cumsum(size)
-    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    narrow = np.int32 if total < 1 << 30 and (not len(first) or int(first.max()) < 1 << 30) else np.int64
+    return np.repeat((first - ends + size).astype(narrow), size) + np.arange(total, dtype=narrow)
 
 
 @dataclass
@@ -87,7 +93,7 @@ class Index:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row of a common term, -1 of others
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # by common term, block, entry
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # by block, common term, entry
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by common term, block
     common_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # common terms by entry: row, weight
     common_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -106,57 +112,101 @@ class Index:
             square += (((1 + np.log(others)) * self.unseen) ** 2).sum()
         return x / np.sqrt(square)
 
-    def nearest(self, columns: np.ndarray, x: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, int]:
-        """(entries, cosines) of the k nearest with a cosine above 0, ties by entry; and the number of blocks opened."""
+    @property
+    def slack(self) -> float:
+        """No single-precision cosine over the common terms is off by more: (terms + 8) roundings of sums below 1."""
+        return (len(self.block_max) + 8) * 2.0**-24 * 1.1
+
+    def lay_rows(self) -> None:
+        """The common terms' weights as one matrix a block; laid out where it is used, from the entries' own lists."""
+        blocks = self.block_max.shape[1]
+        self.rows = np.zeros((blocks, len(self.block_max), BLOCK), dtype=np.float32)
+        entry = np.repeat(np.arange(blocks * BLOCK), np.diff(self.common_first))
+        self.rows[entry // BLOCK, self.common_of, entry % BLOCK] = self.common_weight
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.lay_rows()
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Per text (columns, weights): (entries, cosines) of the k nearest with a cosine above 0, ties by entry; and the number of blocks opened."""
+        n, blocks = len(texts), self.block_max.shape[1]
+        text = np.repeat(np.arange(n), [len(c) for c, _ in texts])
+        columns, x = (np.concatenate(a) for a in zip(*texts, strict=True))
         slot = self.slot[columns]
-        rare, of = columns[slot < 0], slot[slot >= 0]
-        size = self.first[rare + 1] - self.first[rare]
-        at = spans(self.first[rare], size)
-        part = np.bincount(self.entry_of[at], weights=np.repeat(x[slot < 0], size) * self.weight[at], minlength=self.block_max.shape[1] * BLOCK)
-        y = np.zeros(len(self.block_max))
-        y[of] = x[slot >= 0]
-        small = y[of].astype(np.float32)
-        bound = part.reshape(-1, BLOCK).max(axis=1) + y[of] @ self.block_max[of]
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, opened = np.zeros(0, np.int64), np.zeros(0), 0
-        for some in (order[:4], order[4:]):
-            worst = cosines[k - 1] if len(cosines) >= k else 0.0
-            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-12) >= worst)]
-            if not len(some):
-                break
-            opened += len(some)
-            entry = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            if len(some) * 3 > len(bound):  # whole rows are read faster than most of their blocks
-                rough = part[entry] + (small @ self.rows.reshape(len(y), len(part))[of])[entry]
-            else:
-                rough = part[entry] + small @ self.rows[np.ix_(of, some)].reshape(len(of), len(entry))
-            least = max(worst, np.partition(rough, -k)[-k] if len(rough) > k else 0.0) - 2 * SLACK
-            entry = entry[(rough > 0) & (rough >= least)]
-            size = self.common_first[entry + 1] - self.common_first[entry]
-            at = spans(self.common_first[entry], size)
-            score = part[entry] + np.bincount(np.repeat(np.arange(len(entry)), size), weights=y[self.common_of[at]] * self.common_weight[at], minlength=len(entry))
-            found, cosines = np.r_[found, entry], np.r_[cosines, score]
-            best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines, opened
-
-    def vote(self, found: np.ndarray, cosines: np.ndarray, ones: np.ndarray, total: np.ndarray) -> float:
+        common = slot >= 0
+        y = np.zeros((n, len(self.block_max)))
+        y[text[common], slot[common]] = x[common]
+        part = np.zeros((n, blocks, BLOCK))
+        for i, (own, weights) in enumerate(texts):  # one by one, as the postings of a text fit into a processor's cache
+            far = self.slot[own] < 0
+            size = self.first[own[far] + 1] - self.first[own[far]]
+            at = spans(self.first[own[far]], size)
+            product = self.weight.take(at)
+            product *= np.repeat(weights[far], size)
+            part[i] = np.bincount(self.entry_of.take(at), weights=product, minlength=blocks * BLOCK).reshape(blocks, BLOCK)
+        bound = part.max(axis=2) + y @ self.block_max
+        rough = np.full((n, blocks, BLOCK), -1.0)
+        small = y.astype(np.float32)
+        open_now = np.zeros((n, blocks), dtype=bool)
+        np.put_along_axis(open_now, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        open_now &= bound > 0
+        opened = np.zeros_like(open_now)
+        for last in (False, True):
+            for b in np.flatnonzero(open_now.any(axis=0)):
+                some = np.flatnonzero(open_now[:, b])
+                rough[some, b] = part[some, b] + small[some] @ self.rows[b]
+            opened |= open_now
+            if not last:
+                worst = self._kth(rough.reshape(n, -1), k)
+                open_now = (bound > 0) & (bound * (1 + 1e-12) >= worst[:, None] - self.slack) & ~opened
+        flat, part = rough.reshape(n, -1), part.reshape(n, -1)
+        chosen = (flat > -self.slack) & (flat >= self._kth(flat, k)[:, None] - 2 * self.slack) & np.repeat(opened, BLOCK, axis=1)
+        text, entry = np.nonzero(chosen)
+        size = self.common_first[entry + 1] - self.common_first[entry]
+        at = spans(self.common_first[entry], size)
+        pair = np.repeat(np.arange(len(entry)), size)
+        score = part[text, entry] + np.bincount(pair, weights=y[text[pair], self.common_of[at]] * self.common_weight[at], minlength=len(entry))
+        cuts = np.searchsorted(text, np.arange(n + 1))
+        found = []
+        for i in range(n):
+            own, cosine = entry[cuts[i] : cuts[i + 1]], score[cuts[i] : cuts[i + 1]]
+            best = np.lexsort((own, -cosine))[:k]
+            best = best[cosine[best] > 0]
+            found.append((own[best], cosine[best], int(opened[i].sum())))
+        return found
+
+    @staticmethod
+    def _kth(rough: np.ndarray, k: int) -> np.ndarray:
+        """The k-th largest of each row, 0 at least."""
+        if rough.shape[1] <= k:
+            return np.zeros(len(rough))
+        return np.maximum(np.partition(rough, rough.shape[1] - k, axis=1)[:, -k], 0.0)
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray, ones: np.ndarray, total: np.ndarray, base: float) -> float:
         w = cosines * cosines
-        share = (w @ ones[found] + SMOOTHING * self.base) / (w @ total[found] + SMOOTHING)
+        share = (w @ ones[found] + SMOOTHING * base) / (w @ total[found] + SMOOTHING)
         return float(np.log(share / (1 - share)))
 
     @property
     def base(self) -> float:
         return float((self.ones.sum() + 0.5) / (self.total.sum() + 1))
 
-    def score(self, columns: np.ndarray, counts: np.ndarray, others: np.ndarray | None = None) -> tuple[float, list[int]]:
-        if not len(columns) or not len(self.total):
-            return self.prior, []
-        found, cosines, _ = self.nearest(columns, self.vector(columns, counts, others))
-        if not len(found):
-            return self.prior, []
-        v = self.vote(found, cosines, self.ones, self.total)
-        return float(1 / (1 + np.exp(-(self.slope * v + self.shift)))), [i for e in found[:3] for i in self.evidence[e]][:3]
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each text given as columns, counts and the counts of its terms that no example has."""
+        out: list[tuple[float, list[int]]] = [(self.prior, [])] * len(texts)
+        some = [i for i, t in enumerate(texts) if len(t[0])] if len(self.total) else []
+        base = self.base
+        for a in range(0, len(some), BATCH):
+            part = some[a : a + BATCH]
+            for i, (found, cosines, _) in zip(part, self.nearest([(texts[i][0], self.vector(*texts[i])) for i in part]), strict=True):
+                if len(found):
+                    v = self.vote(found, cosines, self.ones, self.total, base)
+                    out[i] = float(1 / (1 + np.exp(-(self.slope * v + self.shift)))), [e for x in found[:3] for e in self.evidence[x]][:3]
+        return out
 
 
 def _logistic(x: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[float, float]:
@@ -223,29 +273,30 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
     entry, term, weight = np.repeat(np.arange(len(entries), dtype=np.int32), size[kept]), column, x
     del at, count
     blocks = (len(entries) + BLOCK - 1) // BLOCK
-    common = np.flatnonzero(np.bincount(term, minlength=len(terms)) > COMMON)
+    spread_of = np.bincount(term, minlength=len(terms))
+    common = np.sort(np.argsort(-spread_of, kind="stable")[:ROWS])
+    common = common[spread_of[common] > COMMON]
     index.slot = np.full(len(terms), -1, dtype=np.int32)
     index.slot[common] = np.arange(len(common))
     own = index.slot[term] >= 0  # by entry
     index.common_of, index.common_weight = index.slot[term[own]], weight[own]
     index.common_first = np.searchsorted(entry[own], np.arange(blocks * BLOCK + 1))
-    index.rows = np.zeros((len(common), blocks, BLOCK), dtype=np.float32)
-    index.rows[index.common_of, entry[own] // BLOCK, entry[own] % BLOCK] = index.common_weight
     index.block_max = np.zeros((len(common), blocks))
     np.maximum.at(index.block_max, (index.common_of, entry[own] // BLOCK), index.common_weight)
+    index.lay_rows()
     entry, term, weight = entry[~own], term[~own], weight[~own]
     order = np.argsort(term, kind="stable")
     index.entry_of, index.weight = entry[order], weight[order]
     index.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    votes = []
-    for i, g in enumerate(entries):  # leave one example of the entry out, of its more frequent label
-        own = slice(bounds[i], bounds[i + 1])
-        found, cosines, _ = index.nearest(column[own], x[own], NEAREST + 1)
-        total, ones = index.total.copy(), index.ones.copy()
-        one = g[2] * 2 >= g[3]
-        total[i] -= counted[one]
-        ones[i] -= counted[1] if one else 0
-        votes.append(index.vote(found, cosines, ones, total))
+    votes, base = [], index.base
+    for first in range(0, len(entries), BATCH):
+        some = range(first, min(first + BATCH, len(entries)))
+        near = index.nearest([(column[bounds[i] : bounds[i + 1]], x[bounds[i] : bounds[i + 1]]) for i in some], NEAREST + 1)
+        for i, (found, cosines, _) in zip(some, near, strict=True):  # leave one example of the entry out, of its more frequent label
+            total, ones = index.total[found], index.ones[found]
+            one = entries[i][2] * 2 >= entries[i][3]
+            own = found == i
+            votes.append(index.vote(np.arange(len(found)), cosines, ones - own * (counted[1] if one else 0), total - own * counted[one], base))
     index.slope, index.shift = _logistic(np.array(votes), index.ones, index.total)
     return index
 
@@ -259,15 +310,25 @@ class Scorer:
 
     def scores(self, column: pa.Array) -> Iterator[tuple[float, list[int]]]:
         terms = self.index.terms
+        keys: list[bytes] = []
+        new: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for hashes, counts in counts_of(column):
-            key = hashlib.blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest()
-            if key not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
+            keys.append(hashlib.blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest())
+            if keys[-1] not in self.known and keys[-1] not in new:
                 at = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0))
                 hit = terms[at] == hashes if len(terms) else np.zeros(len(at), dtype=bool)
-                self.known[key] = self.index.score(at[hit], counts[hit], counts[~hit])
-            yield self.known[key]
+                new[keys[-1]] = at[hit], counts[hit], counts[~hit]
+            if len(new) == 4 * BATCH:
+                yield from self._told(keys, new)
+                keys, new = [], {}
+        yield from self._told(keys, new)
+
+    def _told(self, keys: list[bytes], new: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        if len(self.known) > 100_000:
+            here = set(keys)
+            self.known = {k: v for k, v in self.known.items() if k in here}
+        self.known |= zip(new, self.index.scores(list(new.values())), strict=True)
+        return [self.known[k] for k in keys]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,15 +342,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index learned from the labelled rows of (doc_id, text); labels is (doc_id, toxic)."""
-    clean = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic IN (0, 1)")
-    sizes = {r["toxic"]: r["n"] for r in clean.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {1: 0.95 * max_examples * TOXIC_SHARE, 0: 0.95 * max_examples * (1 - TOXIC_SHARE)}
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
+    clean = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic IN (0, 1)")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    labelled = materialise(hashed.join(clean, "id").distinct(), "toxicity-labelled")
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {1: int(max_examples * TOXIC_SHARE), 0: max_examples - int(max_examples * TOXIC_SHARE)}
     shares = [min(1.0, wanted[y] / max(1, sizes.get(y, 0))) for y in (0, 1)]
-    share = F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
-    chosen = clean.where(place < share).limit(max_examples)  # at most max_examples rows of two numbers: small enough to broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = sample.mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
+    # the rows of the smallest hashes of each label, at most max_examples of two numbers: small enough to broadcast
+    first = [labelled.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "id", "th"), "id", "th").limit(wanted[y]) for y in (0, 1)]
+    chosen = materialise(first[0].unionByName(first[1]), "toxicity-chosen").withColumnsRenamed({"id": "_id", "th": "_th"})
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
+    rows = sample.groupBy("doc_id", "_th").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("doc_id", "_th").mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
     n1, n = sum(r["toxic"] for r in rows), len(rows)
     if not n1 or n1 == n:
         return Index(np.zeros(0, np.uint64), np.zeros(0), (n1 + 0.01) / (n + 1) if n else 0.0)
@@ -319,7 +383,7 @@ def _score(index, names: list[str]):
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES entries at most
-    return docs.select("doc_id", "text").mapInArrow(_score(shared, ["doc_id", "score", "evidence"]), "doc_id long, score double, evidence array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared, ["doc_id", "score", "evidence"]), "doc_id long, score double, evidence array<bigint>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,8 @@ def test_block_max_search_is_exact():
     for _ in range(150):
         columns = np.unique(rng.integers(0, 40, int(rng.integers(1, 6))))
         x = index.vector(columns, rng.integers(1, 4, len(columns)))
-        entries, cosines, blocks = index.nearest(columns, x)
+        (entries, cosines, blocks), *others = index.nearest([(columns, x), (columns[:1], np.ones(1))])
+        assert len(others) == 1
         full = dense[:, columns] @ x
         want = np.sort(full[full > 0])[::-1][: toxicity.NEAREST]
         assert np.allclose(np.sort(cosines)[::-1], want) and np.allclose(full[entries], cosines)
@@ -255,7 +256,7 @@ def test_toxicity_neighbours_over_whole_texts(spark, monkeypatch, common):
         columns = np.searchsorted(index.terms, hashes[hit])
         if not len(columns):
             continue
-        _, cosines, _ = index.nearest(columns, index.vector(columns, counts[hit], counts[~hit]))
+        ((_, cosines, _),) = index.nearest([(columns, index.vector(columns, counts[hit], counts[~hit]))])
         q = vector(text)
         want = sorted((c for e in known if (c := sum(v * e[t] for t, v in q.items() if t in e)) > 0), reverse=True)[: toxicity.NEAREST]
         assert np.allclose(cosines, want)
@@ -266,6 +267,22 @@ def test_toxicity_neighbours_over_whole_texts(spark, monkeypatch, common):
     assert found[953].score == index.prior and not found[953].evidence
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A labelled doc_id repeated in most rows fills no more than its share of the sample; all terms of the sample count."""
+    kept = []
+    real = toxicity.build
+    monkeypatch.setattr(toxicity, "build", lambda terms, df, examples, counted: kept.append((terms, examples)) or real(terms, df, examples, counted))
+    rows = [(i, f"clean{i} word a{i} b{i} c{i}") for i in range(900)] + [(1000 + i, f"bad{i} awful d{i} e{i}") for i in range(60)]
+    many = spark.range(20_000).selectExpr("1000L AS doc_id", "concat('bad word', id % 7000) AS text").unionByName(spark.createDataFrame([(2, "same text here")] * 3000, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(many)
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, max_examples=1500)
+    terms, examples = kept[0]
+    assert len(examples) <= 1500 and len({(e[0], e[2].tobytes()) for e in examples}) == len(examples)
+    assert sum(e[1] for e in examples) == 500 and sum(1 - e[1] for e in examples) == 901
+    assert len(terms) > 4096
+
+
 def test_toxicity_scores_keep_the_share_of_labels(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(f"word{rng.randrange(60)}" for _ in range(8)), int(i % 10 == 0)) for i in range(3000)]  # labels say nothing of texts
