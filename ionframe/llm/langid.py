@@ -5,12 +5,16 @@ Features are character 1- to 3-grams of the lower-cased whole text (anything but
 follow-the-regularised-leader (FTRL-proximal) under L1 and L2 penalties, which leaves most weights zero; a temperature
 fitted on a part of the training rows kept apart calibrates its probabilities.
 
-Training rows are a bounded sample: at most ``MAX_TRAIN_DOCS`` documents, equally many of each language where there are
-enough, chosen by a hash of doc_id. Their feature vectors are made by the executors; the driver receives at most that
-many vectors of at most ``DIMENSIONS`` entries. Every document is then scored over its whole text.
+Training rows are a bounded sample: at most ``max_docs`` documents (one of each language where languages are more),
+equally many of each language where there are enough, chosen by a hash of doc_id and text. Every language is learned. The
+feature vectors are made by the executors; the driver receives at most that many vectors of at most ``DIMENSIONS``
+entries. Every document is then scored over its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without a training row every document is
-``und``; repeated rows are judged alike; a null doc_id is not held out and never trains; an empty table gives no rows.
+``und``; of languages with equal probabilities the first by name is told; rows with one doc_id and text train once;
+repeated rows are judged alike; a very long text is one document with all its n-grams; a null doc_id is not held out and
+never trains; other columns pass through, but those with the names of the results are replaced; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionframe.llm.textscan import buffers, pieces
-from ionframe.storage import table
+from ionframe.storage import materialise, table
 
 DIMENSIONS, ORDERS = 1 << 13, (1, 2, 3)
-MAX_TRAIN_DOCS, MAX_LANGUAGES, PIECE_ROWS = 3000, 500, 256
+MAX_TRAIN_DOCS, PIECE_ROWS = 3000, 256
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 UNDETERMINED = "und"
 
@@ -163,14 +168,22 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     """The model learned from the rows of (doc_id, text, lang) with a text and a language."""
-    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    th = F.xxhash64("text")
+    alike = materialise(usable.select("lang", "doc_id", th.alias("th")).distinct(), "langid-rows")
+    sizes = materialise(alike.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = sizes.count()
+    if not languages:
         return None
-    each = max(1, int(0.95 * max_docs / len(sizes)))
-    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    sample = usable.where(place < F.coalesce(shares[F.col("lang")], F.lit(0.0))).select("lang", "text").limit(max_docs)
+    each = max(1, max_docs // languages)
+    # the rows of a language's smallest hashes, of some four times as many that a hash lets through, so that no window is large
+    place = F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("th"))
+    near = alike.join(sizes, F.col("lang") == F.col("of")).where(F.pmod(place, F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003.0 * (4 * each + 100)))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id", "th"))
+    keys = near.withColumn("rank", rank).where(F.col("rank") <= each)
+    keys = materialise(keys.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "langid-sample")
+    same = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")) & (th == F.col("_th"))
+    sample = usable.join(F.broadcast(keys), same).groupBy("_lang", "_id", "_th").agg(F.first("text").alias("text")).select(F.col("_lang").alias("lang"), "text")
     rows = sample.mapInArrow(_sparse, "lang string, columns binary, counts binary").collect()
     found = [(r["lang"], np.frombuffer(r["columns"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.float64)) for r in rows]
     return train(sorted(found, key=lambda r: (hash_of(r[1], r[2]), r[0])))
@@ -181,28 +194,33 @@ def hash_of(columns: np.ndarray, counts: np.ndarray) -> int:
     return int((columns * 2654435761 + counts.astype(np.int64) * 40503).sum() & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF
 
 
-def _predict(model, text_at: int, names: list[str]):
+def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         for batch in batches:
-            for a, b, counts, has in counts_of(batch.column(text_at)):
+            for a, b, counts, has in counts_of(batch.column("text")):
                 if m is None:
                     langs, scores = [UNDETERMINED] * (b - a), np.zeros(b - a)
                 else:
                     p = m.probabilities(counts)
                     langs = [m.languages[k] if h else UNDETERMINED for k, h in zip(p.argmax(axis=1), has, strict=True)]
                     scores = np.where(has, p.max(axis=1), 0.0)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang", "score"])
 
     return run
 
 
+def _judged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, lang, score): each row of ``docs`` as one struct, with its language and probability."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x languages numbers at most
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(_predict(shared), schema)
+
+
 def predict(docs: DataFrame, model: Model | None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """The columns of ``docs`` with the predicted language and its probability."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x languages numbers at most
-    return docs.mapInArrow(_predict(shared, docs.columns.index("text"), [f.name for f in schema.fields]), schema)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (lang_as, score_as)]
+    return _judged(docs, model).select(*kept, F.col("lang").alias(lang_as), F.col("score").alias(score_as))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +232,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose language is told with a probability of ``least`` or more; the model learns from the table's own lang column."""
-    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
-    found = predict(docs, model, "_language_", "_language_score_")
-    return found.where((F.col("_language_") != UNDETERMINED) & (F.col("_language_score_") >= least)).select(*docs.columns)
+    """The documents whose language is told with a probability of ``least`` or more; the model learns from the table's own lang
+    column. Where that has no language at all, those with a letter stay."""
+    model = fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = _judged(docs, model).where((F.col("lang") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

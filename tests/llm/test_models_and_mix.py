@@ -104,7 +104,7 @@ def test_language_id(spark):
     rows = [*language_rows(), (900, None, "aa"), (901, "", "aa"), (902, "12 34 !", "bb"), (903, "the und " * 20_000, None), (903, "the und " * 20_000, None), (None, "nicht schön", "bb")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
     model = langid.fit(frame.where(~langid.held_out(F.col("doc_id"), 4, 2)))
-    found = langid.predict(frame.select("doc_id", "text", "lang"), model).collect()
+    found = langid.predict(frame, model).collect()
     by = {r.doc_id: r for r in found}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902))
     assert all(r.lang_pred == r.lang and 0 < r.score <= 1 for r in found if r.lang and r.doc_id is not None and r.doc_id < 900)
@@ -138,6 +138,80 @@ def test_language_id_without_rows(spark):
     assert langid.predict(one.limit(0), None).count() == 0
 
 
+def test_all_of_many_languages_are_learned(spark):
+    """600 language values, of few and of many rows; the sample has a row of each, and no row with one id and text twice."""
+    rows = [(i, f"{chr(0x4E00 + i % 600)}{chr(0x5E00 + i % 600)} " * 5 + str(i), f"l{i % 600:03}") for i in range(1800)]
+    rows += [(5000 + i, "the quick of and was to", "l000") for i in range(500)] + [(9000, "the quick", "l001")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, 100)
+    assert model.languages == sorted({r[2] for r in rows})
+    taught = []
+    langid_train, langid.train = langid.train, lambda rows: taught.extend(rows)
+    try:
+        langid.fit(frame, 3000)
+    finally:
+        langid.train = langid_train
+    assert len({r[0] for r in taught}) == 600 and len(taught) == 3 * 598 + 5 + 4  # five a language at most
+
+
+@pytest.mark.parametrize("l1", [langid.L1, 0.6])
+def test_training_matches_plain_ftrl(monkeypatch, l1):
+    """Weights and temperature from one-coordinate-at-a-time FTRL-proximal with an elastic net, and a grid of temperatures."""
+    monkeypatch.setattr(langid, "L1", l1)
+    rng = random.Random(8)
+    rows = []
+    for i in range(45):
+        k = i % 3
+        columns = np.array(sorted(rng.sample(range(k * 12, k * 12 + 20), 7)))
+        rows.append((f"l{k}", columns, np.array([float(rng.randrange(1, 5)) for _ in columns])))
+    model = langid.train(rows)
+    fit, hold = [r for i, r in enumerate(rows) if i % 5], rows[::5]
+    df = defaultdict(int)
+    for _, columns, _ in fit:
+        for c in columns:
+            df[c] += 1
+    idf = lambda c: np.float32(np.log((1 + len(fit)) / (1 + df[c])) + 1)
+
+    def vector(row):
+        x = {c: (1 + np.log(n)) * idf(c) for c, n in zip(row[1].tolist(), row[2].tolist(), strict=True)}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {c: v / norm for c, v in x.items()}
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(c, k):
+        if abs(z[c, k]) <= langid.L1:
+            return 0.0
+        return -(z[c, k] - np.sign(z[c, k]) * langid.L1) / ((langid.BETA + np.sqrt(n[c, k])) / langid.ALPHA + langid.L2)
+
+    def shares(x, t=1.0):
+        e = [np.exp(sum(v * weight(c, k) for c, v in x.items()) / t) for k in range(3)]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(0)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(fit)):
+            x = vector(fit[i])
+            p = shares(x)
+            w = {(c, k): weight(c, k) for c in x for k in range(3)}
+            for (c, k), old in w.items():
+                g = x[c] * (p[k] - (fit[i][0] == f"l{k}"))
+                z[c, k] += g - (np.sqrt(n[c, k] + g * g) - np.sqrt(n[c, k])) / langid.ALPHA * old
+                n[c, k] += g * g
+    for c in range(langid.DIMENSIONS):
+        for k in range(3):
+            if c < 50 or model.weights[c, k]:
+                assert abs(model.weights[c, k] - weight(c, k)) < 1e-5
+    assert any(z[c, k] and not weight(c, k) for c in range(50) for k in range(3)) == (l1 > 0.5)  # the L1 penalty makes zeros
+    loss = {t: np.mean([-np.log(max(shares(vector(r), t)[int(r[0][1])], 1e-4)) for r in hold]) for t in np.geomspace(0.05, 5, 60).tolist()}
+    assert abs(model.temperature - min(loss, key=loss.get)) < 1e-9
+
+
+def test_language_stage_without_languages(spark):
+    frame = spark.createDataFrame([(1, "abc", None), (2, "12 3", None), (3, None, None), (3, "é", None)], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.text) for r in langid.identified(frame).collect()) == [(1, "abc"), (3, "é")]
+
+
 def test_language_stage_keeps_columns(spark):
     rows = [*language_rows(100), (900, "12", "aa")]
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
