@@ -65,8 +65,8 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of byte spans, the same wherever a span stands; ``fold`` maps bytes first.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, the same wherever a span stands; ``fold`` maps bytes first; each ``seed`` is a hash of its own.
 
     A span is the sum of its 8-byte groups, each mixed with its place. The mix is no polynomial, so texts of a regular
     build do not collide by it; what must be right beyond that compares the bytes.
@@ -79,14 +79,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     room[: len(held)] = held if fold is None else fold[held]
     groups = np.ndarray(len(held) + 1, dtype="<u8", buffer=room, strides=(1,))
     at, size = starts - low, ends - starts
-    out = mix64((groups[at] & _INSIDE[np.minimum(size, 8)]) ^ _ODD)
+    odd = mix64(np.array([seed], dtype=np.uint64) * _ODD + _ODD)[0] | np.uint64(1)
+    out = mix64((groups[at] & _INSIDE[np.minimum(size, 8)]) ^ odd)
     long = np.flatnonzero(size > 8)
     if len(long):
         more = (size[long] - 1) // 8
         place = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
         byte = np.repeat(at[long], more) + 8 * place
         left = np.minimum(np.repeat(at[long] + size[long], more) - byte, 8)
-        mixed = mix64((groups[byte] & _INSIDE[left]) ^ mix64((place.astype(np.uint64) + np.uint64(1)) * _ODD))
+        mixed = mix64((groups[byte] & _INSIDE[left]) ^ mix64((place.astype(np.uint64) + np.uint64(1)) * odd))
         out[long] += np.add.reduceat(mixed, np.cumsum(more) - more)
     return mix64(out ^ (size.astype(np.uint64) << np.uint64(40)))
 

@@ -81,6 +81,27 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_runs_hold_each_key_once(spark, batches):
+    """Only what the anti-join lets through enters a run, so every key stands in one run, however often batches hold it."""
+    runs = line_dedup.LineRuns(spark, new_path(spark, "runs"), 4, fanout=10)
+    found = line_dedup.dedup_lines(frame(spark, line_rows()), runs=runs, batches=batches)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()), key=str) == brute_lines(line_rows())
+    assert len(runs.runs()) == batches
+    keys = [r.key for name in runs.runs() for r in spark.table(runs.tables[name]).collect()]
+    assert len(keys) == len(set(keys)) > 100
+    assert (runs._files(runs.runs(), "seen-").count() > 0) == (batches > 1)
+
+
+def test_line_keys_are_hashes_of_bare_lines():
+    import pyarrow as pa
+
+    texts = [" \tSome Line of Twenty letters\r\n\nsome line OF twenty letters\n" + "É" * 19 + "\n" + "é" * 20, None, "", "\n\n" + "x" * 100_000]
+    found = [(int(r), int(p), bool(f), k) for row, place, first, keys in line_dedup.line_keys(pa.array(texts), 20) for r, p, f, k in zip(row, place, first, keys.to_pylist(), strict=True)]
+    assert [(r, p, f) for r, p, f, _ in found] == [(0, 0, True), (0, 2, False), (0, 4, True), (3, 2, True)]
+    assert found[0][3] == found[1][3] and len({k for *_, k in found}) == 3 and all(len(k) == 32 for *_, k in found)
+
+
 def test_line_runs_compact_and_reopen(spark):
     path = new_path(spark, "runs")
     runs = line_dedup.LineRuns(spark, path, 4, fanout=2)
