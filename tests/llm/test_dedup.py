@@ -46,11 +46,31 @@ def test_digest_index_keeps_earlier_batches(spark):
     exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "b")]), index).collect()
     again = exact_dedup.DigestIndex(spark, path, 4)  # opened anew from its files
     found = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(3, "a  "), (4, "c"), (5, "c ")]), again).collect()}
-    assert found[3].keep_id == 1 and not found[3].kept
+    assert found[3].keep_id == 3 and found[3].kept and found[3].group_size == 2  # longer than the indexed row
     assert found[4].keep_id == 5 and found[5].kept
     assert again.files().count() == 3
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_batches_of_one_index_make_whole_groups(spark, batches):
+    """Groups that reach over batches, and over calls, have the sizes and kept rows of all rows together."""
+    rng = random.Random(batches)
+    calls = [[(100 * c + i, "".join(rng.choice(["a", "b", " ", "\t"]) for _ in range(rng.randrange(6)))) for i in range(40)] for c in range(3)]
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    for c in range(3):
+        found = exact_dedup.exact_dedup(frame(spark, calls[c]), index, batches)
+        whole = brute_dedup([r for rows in calls[: c + 1] for r in rows])
+        assert sorted(map(tuple, found.collect()), key=str) == [r for r in whole if r[0] // 100 == c]
+    assert index.entries().count() == index.entries().select("digest").distinct().count() == len({r[4] for r in whole})
+
+
+def test_a_batch_appended_twice_counts_once(spark):
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    for number, rows in ((1, [(1, "a")]), (2, [(2, "a  "), (3, "b")]), (2, [(2, "a  "), (3, "b")])):
+        index.append(exact_dedup.groups_of(exact_dedup.digests(frame(spark, rows))), number)
+    assert sorted((r.keep_id, r.group_size) for r in index.groups().collect()) == [(2, 2), (3, 1)]
+
+
 def brute_lines(rows, least=20, docs=3):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     held = defaultdict(list)
