@@ -4,6 +4,7 @@ import math
 import tempfile
 
 import numpy as np
+import pytest
 
 from ionframe.llm import embedding_dedup as E
 from ionframe.llm import url_filter as U
@@ -41,6 +42,46 @@ def test_embedding_dedup(spark):
     assert E.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_many_tiles_and_repeated_ids(spark):
+    """Cut into tiles of 16, in several groups: chains of near copies over tiles, vectors of two lengths, one id for unlike
+    vectors, rows without an id, squares that under- and overflow."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for size in (8, 12):
+        for _ in range(12):
+            base = rng.normal(size=size)
+            base /= np.linalg.norm(base)
+            for _ in range(int(rng.integers(2, 40))):
+                rows.append((len(rows), [float(x) for x in base + rng.normal(size=size) * 0.08]))
+    rows += [(1, rows[300][1]), (1, rows[0][1]), (1, [float(x) for x in rng.normal(size=8)]), (None, rows[40][1]), (None, [float(x) for x in rng.normal(size=12)])]
+    rows += [(2000, [1e-200, 0.0]), (2001, [1e200, 0.0]), (2002, [5e-324, 0.0]), (2003, [1.7e308, 1e307]), (2004, [0.0, -1e-310])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(frame, tile=16).collect()), key=str)
+    scaled = [(i, list(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])))) for i, v in rows]
+    least = lambda a, b: a if b is None else b if a is None else min(a, b)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in scaled]
+    links = {a: [b for b in range(len(rows)) if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95] for a in range(len(rows))}
+    root = {a: rows[a][0] for a in links}
+    for _ in range(40):
+        for a, bs in links.items():
+            for b in bs:
+                root[a] = least(root[a], root[b])
+    assert found == sorted(((rows[a][0], len(links[a]), root[a], rows[a][0] == root[a]) for a in links), key=str)
+    assert sum(map(len, links.values())) > 5000
+
+
+@pytest.mark.parametrize("size", [3, 1040, 1041, 2500])
+def test_bounds_hold_in_any_dimension(size):
+    rng = np.random.default_rng(size)
+    x = E.unit(rng.choice([-1.0, 1.0], (40, size)) * (1 + 1e-3 * rng.random((40, size))))  # the largest products there are
+    y = np.concatenate([x[:20], E.unit(x[20:] + rng.normal(size=(20, size)) * 0.3)])
+    qx, qy = E.quantised(x), E.quantised(y)
+    assert (E.products(qx[0], qy[0]) == qx[0].astype(np.int64) @ qy[0].astype(np.int64).T).all()
+    for threshold in (0.5, 0.95):
+        found = {(int(i), int(j)) for p, q in E.linked_pairs(x, y, qx, qy, threshold) for i, j in zip(p, q, strict=True)}
+        assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ y.T >= threshold), strict=True)}
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(1)
     x, y = E.unit(rng.normal(size=(300, 24))), E.unit(rng.normal(size=(200, 24)))
