@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -83,6 +84,44 @@ def test_sainte_lague(spark):
         assert sorted((votes[p], want[p]) for p in votes) == sorted((votes[p], got[g, p]) for p in votes)
 
 
+def test_many_parties_list_few_quotients(spark):
+    """8,000 parties of equal votes, 1.4 seats each: the work is in proportion to the parties."""
+    frame = spark.range(8000).selectExpr("1 AS g", "id AS p", "100L + id % 2 AS v", "11200L AS seats")
+    began = time.perf_counter()
+    got = {r.p: (r.v, r.quota) for r in mixing.sainte_lague(frame, ["g"], ["p"], "v", "seats").collect()}
+    assert time.perf_counter() - began < 15
+    assert sum(q for _, q in got.values()) == 11200
+    assert {q for v, q in got.values() if v == 101} == {1} | ({2} if any(q == 2 for v, q in got.values() if v == 101) else set())
+    assert min(v / (2 * q - 1) for v, q in got.values()) >= max(v / (2 * q + 1) for v, q in got.values())
+
+
+def test_the_seed_selects_blocks(spark):
+    """Part of a shard is taken: blocks that follow each other from a seeded one, and other ones under another seed."""
+    frame = spark.createDataFrame([(i, "w " * 10, s) for i in range(200) for s in ("a", "b")], "doc_id long, text string, source string")
+    taken = {seed: {(r.source, r.doc_id): r.taken for r in mixing.mix(frame, weights=(1, 3), block_words=10, shard_docs=200, seed=seed).collect()} for seed in ("x", "y")}
+    for found in taken.values():
+        a = [v for (s, _), v in found.items() if s == "a"]
+        assert sum(a) == 1000 and sorted(set(a)) in ([0, 10], [0, 5, 10]) and sum(v for (s, _), v in found.items() if s == "b") == 3000
+    assert taken["x"] != taken["y"]
+
+
+def test_rows_alike_are_mixed_together(spark):
+    """A row repeated in most of the table is one entry; its copies are taken one behind the other, and come back as rows."""
+    rows = [(i, f"w{i} " * 4, "a") for i in range(30)] + [(None, "x y z w", "a")] * 500 + [(7, "p q r s", "b")] * 60
+    frame = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, _each int")
+    found = mixing.mix(frame, shard_docs=40).collect()
+    assert len(found) == len(rows) and all(0 <= r.taken <= 12 for r in found)
+    for s, target in brute_targets({"a": 4 * 530, "b": 240}).items():
+        assert abs(sum(r.taken for r in found if r.source == s) - target) <= 16 * 14
+    whole = defaultdict(int)
+    for r in mixing.mix(frame).collect():
+        whole[r.doc_id, r.source] += int(r.taken / r.size + 0.5)
+    out = defaultdict(int)
+    for r in mixing.mixed_documents(frame).collect():
+        out[r.doc_id, r.source] += 1
+    assert out == {k: v for k, v in whole.items() if v}
+
+
 def test_mixed_documents(spark):
     frame = spark.createDataFrame([(i, "w " * 10, "s" + str(i % 3), 1) for i in range(120)], "doc_id long, text string, source string, taken int")
     out = mixing.mixed_documents(frame)
