@@ -93,7 +93,7 @@ class Index:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row of a common term, -1 of others
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # by block, common term, entry
+    rows: np.ndarray | None = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # by block, common term, entry
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by common term, block
     common_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # common terms by entry: row, weight
     common_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -127,12 +127,10 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rows": None}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.lay_rows()
-
     def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Per text (columns, weights): (entries, cosines) of the k nearest with a cosine above 0, ties by entry; and the number of blocks opened."""
+        if self.rows is None:
+            self.lay_rows()
         n, blocks = len(texts), self.block_max.shape[1]
         text = np.repeat(np.arange(n), [len(c) for c, _ in texts])
         columns, x = (np.concatenate(a) for a in zip(*texts, strict=True))
@@ -235,63 +233,62 @@ def build(terms: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, np.n
     n, n1 = len(examples), sum(e[1] for e in examples)
     bare = [e for e in examples if not len(e[2])]
     examples = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
-    size = np.array([len(e[2]) for e in examples], dtype=np.int64)
-    start = np.cumsum(size) - size
-    label = np.array([e[1] for e in examples], dtype=float)
-    column, count = np.zeros(size.sum(), np.int32), np.zeros(size.sum(), np.int32)
-    for a, m, e in zip(start.tolist(), size.tolist(), examples, strict=True):
-        own = renamed[e[2]]
-        order = np.argsort(own)
-        column[a : a + m], count[a : a + m] = own[order], e[3][order]
-    rows = np.bincount(column, minlength=len(terms)).astype(float)
-    ones = np.bincount(column, weights=np.repeat(label, size), minlength=len(terms))
+    rows, ones = np.zeros(len(terms)), np.zeros(len(terms))
+    for _, y, columns, _ in examples:  # one by one here and below: temporary arrays over all examples would be large
+        rows[columns] += 1
+        ones[columns] += y
+    rows, ones = rows[by], ones[by]
     spread = rows * (n - rows) * n1 * (n - n1)
     chi2 = np.divide(n * (n * ones - rows * n1) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
     idf = (np.log((1 + n) / (1 + df[by])) + 1) * np.sqrt(np.maximum(1, chi2))
     bare_ones = sum(e[1] * counted[1] for e in bare)
     index = Index(terms[by], idf, (bare_ones + 0.01) / (sum(counted[e[1]] for e in bare) + 1) if n else 0.0, float(np.log(1 + n) + 1))
     groups: dict[bytes, list] = {}
-    x = np.zeros(len(column))
-    for k, (a, m, e) in enumerate(zip(start.tolist(), size.tolist(), examples, strict=True)):
-        own = slice(a, a + m)
-        x[own] = index.vector(column[own], count[own])
-        key = hashlib.blake2b(column[own].tobytes() + np.round(x[own], 12).tobytes(), digest_size=16).digest()
-        g = groups.setdefault(key, [k, int(column[a + np.argmax(x[own])]), 0, 0, []])
-        g[2] += e[1] * counted[1]
-        g[3] += counted[e[1]]
+    for doc_id, y, columns, counts in examples:
+        own = renamed[columns]
+        order = np.argsort(own)
+        own = own[order]
+        x = index.vector(own, counts[order])
+        key = hashlib.blake2b(own.tobytes() + np.round(x, 12).tobytes(), digest_size=16).digest()
+        g = groups.setdefault(key, [own, x, 0, 0, []])
+        g[2] += y * counted[1]
+        g[3] += counted[y]
         if len(g[4]) < 3:
-            g[4].append(e[0])
-    entries = sorted(groups.values(), key=lambda g: (g[1], size[g[0]], g[4]))
+            g[4].append(doc_id)
+    del examples
+    entries = sorted(groups.values(), key=lambda g: (g[0][np.argmax(g[1])], len(g[0]), g[4]))
     index.ones, index.total = np.array([g[2] for g in entries], dtype=float), np.array([g[3] for g in entries], dtype=float)
     index.evidence = [g[4] for g in entries]
     if not entries:
         return index
-    kept = np.array([g[0] for g in entries])
-    at = spans(start[kept], size[kept])
-    column, x = column[at], x[at]  # in the order of entries
-    bounds = np.r_[0, np.cumsum(size[kept])]
-    entry, term, weight = np.repeat(np.arange(len(entries), dtype=np.int32), size[kept]), column, x
-    del at, count
     blocks = (len(entries) + BLOCK - 1) // BLOCK
-    spread_of = np.bincount(term, minlength=len(terms))
-    common = np.sort(np.argsort(-spread_of, kind="stable")[:ROWS])
-    common = common[spread_of[common] > COMMON]
+    held = np.zeros(len(terms), dtype=np.int64)  # entries with a term
+    for own, *_ in entries:
+        held[own] += 1
+    common = np.sort(np.argsort(-held, kind="stable")[:ROWS])
+    common = common[held[common] > COMMON]
     index.slot = np.full(len(terms), -1, dtype=np.int32)
     index.slot[common] = np.arange(len(common))
-    own = index.slot[term] >= 0  # by entry
-    index.common_of, index.common_weight = index.slot[term[own]], weight[own]
-    index.common_first = np.searchsorted(entry[own], np.arange(blocks * BLOCK + 1))
+    index.common_first = np.r_[0, np.cumsum([(index.slot[own] >= 0).sum() for own, *_ in entries], dtype=np.int64)]
+    index.common_first = np.r_[index.common_first, np.full(blocks * BLOCK - len(entries), index.common_first[-1])]
+    index.common_of, index.common_weight = np.zeros(index.common_first[-1], np.int32), np.zeros(index.common_first[-1])
     index.block_max = np.zeros((len(common), blocks))
-    np.maximum.at(index.block_max, (index.common_of, entry[own] // BLOCK), index.common_weight)
+    index.first = np.r_[0, np.cumsum(np.where(index.slot >= 0, 0, held))]
+    index.entry_of, index.weight = np.zeros(index.first[-1], np.int32), np.zeros(index.first[-1])
+    place = index.first[:-1].copy()
+    for i, (own, x, *_) in enumerate(entries):
+        slot = index.slot[own]
+        near, far = slot >= 0, own[slot < 0]
+        here = slice(index.common_first[i], index.common_first[i + 1])
+        index.common_of[here], index.common_weight[here] = slot[near], x[near]
+        index.block_max[slot[near], i // BLOCK] = np.maximum(index.block_max[slot[near], i // BLOCK], x[near])
+        index.entry_of[place[far]], index.weight[place[far]] = i, x[~near]
+        place[far] += 1
     index.lay_rows()
-    entry, term, weight = entry[~own], term[~own], weight[~own]
-    order = np.argsort(term, kind="stable")
-    index.entry_of, index.weight = entry[order], weight[order]
-    index.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
     votes, base = [], index.base
     for first in range(0, len(entries), BATCH):
         some = range(first, min(first + BATCH, len(entries)))
-        near = index.nearest([(column[bounds[i] : bounds[i + 1]], x[bounds[i] : bounds[i + 1]]) for i in some], NEAREST + 1)
+        near = index.nearest([(entries[i][0], entries[i][1]) for i in some], NEAREST + 1)
         for i, (found, cosines, _) in zip(some, near, strict=True):  # leave one example of the entry out, of its more frequent label
             total, ones = index.total[found], index.ones[found]
             one = entries[i][2] * 2 >= entries[i][3]
@@ -353,21 +350,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     chosen = materialise(first[0].unionByName(first[1]), "toxicity-chosen").withColumnsRenamed({"id": "_id", "th": "_th"})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
-    rows = sample.groupBy("doc_id", "_th").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("doc_id", "_th").mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
-    n1, n = sum(r["toxic"] for r in rows), len(rows)
+    vectors = sample.groupBy("doc_id", "_th").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("doc_id", "_th").mapInArrow(_vectors, "doc_id long, toxic int, terms binary, counts binary")
+    found, terms, recent = [], np.zeros(0, np.uint64), []
+    for r in materialise(vectors, "toxicity-vectors").toLocalIterator():  # part by part, so that the driver never holds them twice
+        found.append((r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.uint32)))
+        recent.append(found[-1][2])
+        if len(recent) == 256:
+            terms, recent = np.unique(np.concatenate([terms, *recent])), []
+    terms, found = np.unique(np.concatenate([terms, *recent])), sorted(found, key=lambda r: r[0])
+    n1, n = sum(r[1] for r in found), len(found)
     if not n1 or n1 == n:
         return Index(np.zeros(0, np.uint64), np.zeros(0), (n1 + 0.01) / (n + 1) if n else 0.0)
-    ids, toxic = [r["doc_id"] for r in rows], [r["toxic"] for r in rows]
-    bounds = np.cumsum([len(r["counts"]) // 4 for r in rows])[:-1]
-    counts, hashes = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32), np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
-    del rows
-    terms = np.unique(hashes)
-    columns = np.searchsorted(terms, hashes).astype(np.int32)
-    del hashes
-    df = np.bincount(columns, minlength=len(terms))
+    df = np.zeros(len(terms), dtype=np.int64)
+    for i, (doc_id, y, hashes, counts) in enumerate(found):
+        columns = np.searchsorted(terms, hashes).astype(np.int32)
+        df[columns] += 1
+        found[i] = doc_id, y, columns, counts
     stands = [1 / x for x in shares]  # labelled rows that an example stands for; on average 1, so that smoothing stays
     mean = (n1 * stands[1] + (n - n1) * stands[0]) / n
-    return build(terms, df, list(zip(ids, toxic, np.split(columns, bounds), np.split(counts, bounds), strict=True)), (stands[0] / mean, stands[1] / mean))
+    return build(terms, df, found, (stands[0] / mean, stands[1] / mean))
 
 
 def _score(index, names: list[str]):
@@ -383,6 +384,7 @@ def _score(index, names: list[str]):
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES entries at most
+    index.rows = None  # executors lay theirs out
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared, ["doc_id", "score", "evidence"]), "doc_id long, score double, evidence array<bigint>")
 
 
