@@ -178,7 +178,7 @@ def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     per_doc = drops.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("whole"))
     found = rows.join(per_doc.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
-    lines, n_lines = F.split("whole", "\n"), (F.length("whole") - F.length(F.translate("whole", "\n", "")) + 1).cast("long")
+    lines, n_lines = F.split("whole", "\n"), (F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1).cast("long")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop")), lambda i: F.get(lines, i)), "\n")
     new = {"n_lines": n_lines, "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("drop").isNull(), F.col("whole")).otherwise(kept)}
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
@@ -195,9 +195,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         stats = scratch.table(line_stats(lines.where(F.col("batch") == b)), "line-stats")
         runs.append(stats)
     scratch.drop("line-stats")
-    repeated = runs.totals().where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull())
+    # written first, so that both sides of the join are plain shuffles and Spark can split a line of many documents
+    repeated = scratch.table(runs.totals().where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull()).select("key", "last_doc"), "repeated-lines")
     drops = lines.join(repeated.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     drops = scratch.table(drops.select("doc_id", "th", "pos"), "line-drops")
+    scratch.drop("repeated-lines")
     remove(spark, staged)
     return _without(docs, drops)
 
