@@ -87,3 +87,33 @@ def flux(count: float, area: float, seconds: float) -> float:
 
 def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def theta_phi_between(base: Column, tip: Column) -> tuple[Column, Column]:
+    """(theta, phi) of the direction from one point to another; equal points raise."""
+    return theta_phi(F.struct(*[(tip[a] - base[a]).alias(a) for a in "xyz"]))
+
+
+def theta_phi_of_turns(turn_x: Column, turn_y: Column, turn_z: Column) -> tuple[Column, Column]:
+    """(theta, phi) of an object turned by degrees around the three axes; its direction is (cy cz, sx sz, cx cy)."""
+    x, y, z = (radians(a) for a in (turn_x, turn_y, turn_z))
+    return theta_phi(F.struct((F.cos(y) * F.cos(z)).alias("x"), (F.sin(x) * F.sin(z)).alias("y"), (F.cos(x) * F.cos(y)).alias("z")))
+
+
+def colour_index(value: Column, most: Column, entries: int = 256) -> Column:
+    """The entry of a table of ``entries`` over 0..most, ends included; no ``most``, or 0, gives the first."""
+    share = F.coalesce(value / F.nullif(most, F.lit(0)), F.lit(0.0))
+    return clamp(F.floor(share * entries), 0, entries - 1).cast("int")
+
+
+def colour(index: Column, entries: int = 256) -> Column:
+    """(red, green, blue) of an entry, from blue to red."""
+    red = index / F.lit(float(entries - 1))
+    return F.struct(red.alias("red"), F.lit(0.0).alias("green"), (1 - red).alias("blue"))
+
+
+def without_last(values: Column, item: Column) -> Column:
+    """An array without the last occurrence of an item; unchanged where it has none."""
+    last = F.size(values) - F.array_position(F.reverse(values), item) + 1
+    found = F.filter(values, lambda _, i: i + 1 != last)
+    return F.when(F.array_contains(values, item), found).otherwise(values)

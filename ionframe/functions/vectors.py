@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionframe.functions.rng import between, draw
+
 
 def vec(x, y, z) -> Column:
     as_col = [c if isinstance(c, Column) else (F.col(c) if isinstance(c, str) else F.lit(float(c))) for c in (x, y, z)]
@@ -138,3 +140,13 @@ def from_text(text: Column, separator: str = r"\s*,\s*") -> Column:
 def affine(a: Column, matrix: list[list[float]]) -> Column:
     """A point under a 4x4 matrix (rows of numbers; the last is not used)."""
     return vec(*[a["x"] * r[0] + a["y"] * r[1] + a["z"] * r[2] + r[3] for r in matrix[:3]])
+
+
+def random(seed: int, key: Column, step, low: float, high: float) -> Column:
+    """A vector of three draws in [low, high), the same for a key and step on any retry."""
+    return vec(*[between(draw(seed, key, step, i), low, high) for i in range(3)])
+
+
+def same_matrix(a: list[list[float]], b: list[list[float]]) -> bool:
+    """Whether two matrices have the same shape and entries."""
+    return [list(r) for r in a] == [list(r) for r in b]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.functions import vectors as V
+from ionframe.functions.rng import between, draw
 from ionframe.storage import materialise, new_path, remove
 
 #: Cubature points of a tetrahedron by desired accuracy, 1 to 20.
@@ -143,3 +144,57 @@ def check_accuracy(accuracy: int) -> int:
     if accuracy not in CUBATURE_POINTS:
         raise ValueError(f"accuracy {accuracy} is not in 1..20")
     return CUBATURE_POINTS[accuracy]
+
+
+def with_centre(tetras: DataFrame) -> DataFrame:
+    """Adds centre and volume."""
+    v = [F.col(f"v{i}") for i in range(4)]
+    return tetras.withColumn("centre", V.centroid(*v)).withColumn("volume", F.abs(V.signed_volume(*v)))
+
+
+def total_volume(tetras: DataFrame) -> DataFrame:
+    """One row (volume)."""
+    return with_centre(tetras).agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))
+
+
+def shape(matrix: DataFrame) -> DataFrame:
+    """One row (rows, cols, nnz, empty) of a coordinate matrix."""
+    return matrix.agg(F.countDistinct("row").alias("rows"), F.countDistinct("col").alias("cols"), F.count(F.lit(1)).alias("nnz"), (F.count(F.lit(1)) == 0).alias("empty"))
+
+
+def vector_size(vector: DataFrame) -> int:
+    return vector.count()
+
+
+def vector_at(vector: DataFrame, idx: int) -> float:
+    """The value at a place of (idx, value), also of a solution; a place it does not have raises."""
+    found = vector.where(F.col("idx") == idx).limit(1).collect()
+    if not found:
+        raise IndexError(f"the vector has no entry {idx}")
+    return found[0]["value"]
+
+
+def cleared(vector: DataFrame) -> DataFrame:
+    return vector.select("idx", F.lit(0.0).alias("value"))
+
+
+def randomised(vector: DataFrame, seed: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """The vector with drawn values, the same on any retry."""
+    return vector.select("idx", between(draw(seed, F.col("idx"), 0, 0), low, high).alias("value"))
+
+
+def free_nodes(nodes: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Rows of (node_id, ...) whose node no condition (node_id) holds."""
+    return nodes.join(fixed.select("node_id"), "node_id", "left_anti")
+
+
+#: What an element can be; only linear tetrahedra are computed.
+CELLS, ORDERS = ("triangle", "pyramid", "wedge", "tetrahedron", "hexahedron"), (1, 2)
+
+
+def check_cell(cell: str, order: int = 1) -> None:
+    """Raises for an unknown cell or order, and for those that are known and not computed."""
+    if cell.lower() not in CELLS or order not in ORDERS:
+        raise ValueError(f"unknown cell {cell} of order {order}")
+    if cell.lower() != "tetrahedron" or order != 1:
+        raise NotImplementedError(f"only linear tetrahedra are computed, not {cell} of order {order}")

@@ -39,3 +39,8 @@ def settled_counts(settled: DataFrame) -> DataFrame:
 def fast(particles: DataFrame, least: float) -> DataFrame:
     v = F.col("v")
     return particles.where(F.sqrt(v["x"] ** 2 + v["y"] ** 2 + v["z"] ** 2) >= least)
+
+
+def tracked_cells(tracked: DataFrame, asked: DataFrame) -> DataFrame:
+    """(step, particle_id, tetra_id) of the asked (step, particle_id); one that the tracker has not at exactly that step has a null cell."""
+    return asked.join(tracked, ["step", "particle_id"], "left").select("step", "particle_id", "tetra_id")

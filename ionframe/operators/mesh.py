@@ -84,3 +84,8 @@ def within(df: DataFrame, box: DataFrame, factor: float, columns: tuple[str, ...
         middle, half = (row[f"{c}_min"] + row[f"{c}_max"]) / 2, (row[f"{c}_max"] - row[f"{c}_min"]) / 2 * factor
         cond = cond & F.col(c).between(middle - half, middle + half)
     return df.where(cond)
+
+
+def extremes(triangles: DataFrame) -> DataFrame:
+    """One row (min_id, max_cnt)."""
+    return triangles.agg(F.min("tri_id").alias("min_id"), F.max("cnt").alias("max_cnt"))

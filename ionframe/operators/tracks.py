@@ -53,3 +53,8 @@ def spaced_values(df: DataFrame, value: str, n: int) -> DataFrame:
     at: Column = F.row_number().over(W.orderBy(value)) - 1
     places = df.sparkSession.range(n).select(F.col("id").alias("pos"), F.bround(F.col("id") * float(max(total - 1, 0)) / max(n - 1, 1), 0).cast("int").alias("at")) if total else df.sparkSession.range(0).select(F.col("id").alias("pos"), F.col("id").cast("int").alias("at"))
     return ranked.withColumn("at", at).join(F.broadcast(places), "at").select("pos", value)
+
+
+def longest(tracks: DataFrame) -> DataFrame:
+    """One row (n_points): the length of the longest track."""
+    return tracks.groupBy("particle_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).cast("long").alias("n_points"))

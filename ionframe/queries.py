@@ -603,3 +603,118 @@ def gas_concentration(spark: SparkSession, d: str) -> DataFrame:
 def affine_transform(spark: SparkSession, d: str) -> DataFrame:
     moved = V.affine(F.col("pos"), [[0.8, -0.6, 0, 1], [0.6, 0.8, 0, -2], [0, 0, 2, 3], [0, 0, 0, 1]])
     return bound_particles(spark, d).select("id", moved.alias("p")).select("id", *[r(F.col("p")[a]).alias(a) for a in "xyz"])
+
+
+# ---------------------------------------------------------------- cells, lookups and directions
+
+
+@query(f"WITH {_K} SELECT tetra_id, round((ax + bx + cx + dx) / 4, 6) AS x, round((ay + by + cy + dy) / 4, 6) AS y, round((az + bz + cz + dz) / 4, 6) AS z, round(abs({_det('a', 'b', 'c', 'd')}) / 6, 4) AS volume FROM k")
+def tetra_centres(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("centre")
+    return fem.with_centre(bound_tetras(spark, d)).select("tetra_id", *[r(c[a]).alias(a) for a in "xyz"], r("volume", 4).alias("volume"))
+
+
+@query(f"WITH {_K} SELECT round(sum(abs({_det('a', 'b', 'c', 'd')}) / 6), 2) AS volume FROM k")
+def mesh_volume(spark: SparkSession, d: str) -> DataFrame:
+    return fem.total_volume(bound_tetras(spark, d)).select(r("volume", 2).alias("volume"))
+
+
+@query(f"WITH {_P}, {_K} SELECT DISTINCT id FROM p JOIN k ON px BETWEEN least(ax, bx, cx, dx) AND greatest(ax, bx, cx, dx) AND ({_INSIDE}) AND {_det('a', 'b', 'c', 'd')} <> 0")
+def inside_mesh(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.inside_mesh(bound_particles(spark, d), bound_tetras(spark, d), 10.0).select("id")
+
+
+@query("""WITH t AS (SELECT event_id % 4 AS step, event_id AS particle_id, user_id % 400 AS tetra_id FROM events)
+SELECT e.event_id % 3 AS step, e.event_id AS particle_id, t.tetra_id FROM events e LEFT JOIN t ON t.particle_id = e.event_id AND t.step = e.event_id % 3""")
+def tracked_cells(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("event_id").alias("particle_id"), (F.col("user_id") % 400).alias("tetra_id"))
+    tracked = events.select((F.col("particle_id") % 4).alias("step"), "particle_id", "tetra_id")
+    return gather.tracked_cells(tracked, events.select((F.col("particle_id") % 3).alias("step"), "particle_id"))
+
+
+@query("SELECT l_orderkey AS node_id, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 150000) GROUP BY 1")
+def free_nodes(spark: SparkSession, d: str) -> DataFrame:
+    fixed = table(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("node_id"))
+    return fem.free_nodes(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id")), fixed).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS rows, count(DISTINCT l_partkey) AS cols, count(*) AS nnz, count(*) = 0 AS empty FROM lineitem")
+def matrix_shape(spark: SparkSession, d: str) -> DataFrame:
+    return fem.shape(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col")))
+
+
+@query(f"WITH m AS (SELECT DISTINCT l_orderkey AS idx FROM lineitem) SELECT idx, round({_draw_sql(9, 'idx', 0, 0)} * 2 - 1, 9) AS value FROM m")
+def randomised_vector(spark: SparkSession, d: str) -> DataFrame:
+    return fem.randomised(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("idx")).distinct(), 9).select("idx", r("value", 9).alias("value"))
+
+
+@query(f"SELECT event_id, {', '.join('round(' + _draw_sql(3, 'event_id', 1, i) + f' * 10 - 5, 9) AS {a}' for i, a in enumerate('xyz'))} FROM events")
+def random_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.random(3, F.col("event_id"), 1, -5.0, 5.0).alias("v")).select("event_id", *[r(F.col("v")[a], 9).alias(a) for a in "xyz"])
+
+
+@query("WITH m AS (SELECT max(value) AS most FROM events), i AS (SELECT event_id, CAST(least(greatest(floor(coalesce(value / nullif(most, 0), 0) * 256), 0), 255) AS INTEGER) AS idx FROM events, m) SELECT event_id, idx, round(idx / 255.0, 6) AS red, round(1 - idx / 255.0, 6) AS blue FROM i")
+def colour_entries(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    most = events.agg(F.max("value").alias("most"))  # one row
+    idx = events.join(F.broadcast(most)).select("event_id", units.colour_index(F.col("value"), F.col("most")).alias("idx"))
+    return idx.withColumn("c", units.colour(F.col("idx"))).select("event_id", "idx", r("c.red").alias("red"), r("c.blue").alias("blue"))
+
+
+_TURNS = "WITH t AS (SELECT event_id, radians(event_id % 80 + 1) AS a, radians(user_id % 70 + 2) AS b, radians(event_id % 60 + 3) AS c FROM events), q AS (SELECT event_id, cos(b) * cos(c) AS x, sin(a) * sin(c) AS y, cos(a) * cos(b) AS z FROM t) "
+
+
+@query(_TURNS + "SELECT event_id, round(acos(z / sqrt(x * x + y * y + z * z)), 6) AS theta, round(atan2(y, x), 6) AS phi FROM q")
+def turned_directions(spark: SparkSession, d: str) -> DataFrame:
+    theta, phi = units.theta_phi_of_turns(F.col("event_id") % 80 + 1, F.col("user_id") % 70 + 2, F.col("event_id") % 60 + 3)
+    return table(spark, d, "events").select("event_id", r(theta).alias("theta"), r(phi).alias("phi"))
+
+
+@query(f"WITH {_P}, w AS (SELECT id, vx - px AS x, vy - py AS y, vz - pz AS z FROM p) SELECT id, round(acos(z / sqrt(x * x + y * y + z * z)), 6) AS theta, round(atan2(y, x), 6) AS phi FROM w")
+def two_point_directions(spark: SparkSession, d: str) -> DataFrame:
+    theta, phi = units.theta_phi_between(F.col("pos"), F.col("v"))
+    return bound_particles(spark, d).select("id", r(theta).alias("theta"), r(phi).alias("phi"))
+
+
+@query("SELECT min(vec_id) AS min_id, max(vec_id % 97) AS max_cnt FROM embeddings")
+def mesh_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.extremes(bound_triangles(spark, d))
+
+
+@query("SELECT max(n) AS n_points FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
+def longest_track(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.longest(table(spark, d, "events").select(F.col("user_id").alias("particle_id")))
+
+
+@query(f"""WITH {_SPECIES_SQL}, s AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS name, ({_NAMES_SQL})[s_suppkey % 12 + 1] AS species, CAST(s_suppkey % 50 + 1 AS BIGINT) AS n, (s_suppkey % 3) / 10.0 AS x FROM supplier),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+g AS (SELECT name, species, x, CAST(before AS BIGINT) + unnest(range(n)) AS id FROM b),
+w AS (SELECT id, name, sqrt(2 * 10.0 * {EV_TO_J!r} / mass) AS v, CASE WHEN x <> 0 THEN 0.4 + ({_draw_sql(7, 'id', 0, 0)} * 2 - 1) * x ELSE 0.4 END AS t FROM g JOIN species USING (species))
+SELECT id, name AS source, round(v * sin(t) * cos(0.2), 4) AS vx, round(v * sin(t) * sin(0.2), 4) AS vy, round(v * cos(t), 4) AS vz FROM w""")
+def point_particles(spark: SparkSession, d: str) -> DataFrame:
+    """The generator of point sources: ids over all sources, velocities from energy and a drawn angle."""
+    names = F.array(*[F.lit(s[0]) for s in SPECIES])
+    key = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(
+        key.cast("string").alias("name"), names[(key % 12).cast("int")].alias("type"), (key % 50 + 1).cast("long").alias("count"), F.lit(10.0).alias("energy_ev"),
+        F.lit(0.2).alias("phi"), F.lit(0.4).alias("theta"), ((key % 3) / 10.0).alias("expansion"), V.vec(0, 0, 0).alias("pos"),
+    )
+    return particles.from_points(rows, seed=7).select("id", "source", *[r(F.col("v")[a], 4).alias(f"v{a}") for a in "xyz"])
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, format('{}, 0, 0', s_suppkey) AS cell_key, row_number() OVER (PARTITION BY s_nationkey ORDER BY format('{}, 0, 0', s_suppkey)) AS k, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier),
+n AS (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) || ':' || cell_key AS source, 100 // c + CASE WHEN k <= 100 % c THEN 1 ELSE 0 END AS n FROM s)
+SELECT source, CAST(n AS BIGINT) AS n, CAST(s_suppkey AS DOUBLE) AS x, round(sqrt(2 * 2.0 * """ + repr(EV_TO_J) + """ / 7.9485017e-26), 4) AS vz FROM n WHERE n > 0""")
+def surface_particles(spark: SparkSession, d: str) -> DataFrame:
+    """The generator of surface sources: a source's count over its cells, each particle along its cell's normal."""
+    key = F.concat(F.col("s_suppkey").cast("string"), F.lit(", 0, 0"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("name"), F.lit("Ti").alias("type"), F.lit(100).cast("long").alias("count"), F.lit(2.0).alias("energy_ev"), key.alias("cell_key"), V.vec(0, 0, 1).alias("normal"))
+    found = particles.from_surfaces(rows)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("pos.x").alias("x"), r(F.max("v.z"), 4).alias("vz"))
+
+
+@query("""WITH g AS (SELECT o_custkey, list(o_orderkey % 5 ORDER BY o_orderkey) AS l FROM orders GROUP BY 1), p AS (SELECT *, len(l) - list_position(list_reverse(l), 3) + 1 AS last FROM g)
+SELECT o_custkey, array_to_string(CASE WHEN list_contains(l, 3) THEN list_concat(l[1 : last - 1], l[last + 1 :]) ELSE l END, ',') AS rest FROM p""")
+def lists_without_last(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k % 5).alias("l"))
+    return lists.select("o_custkey", F.array_join(F.transform(units.without_last(F.col("l"), F.lit(3).cast("long")), lambda x: x.cast("string")), ",").alias("rest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +93,55 @@ def check_run(time_step: float, particles: int, most: int = 10_000_000) -> None:
 
 def is_mesh_name(path: str) -> bool:
     return bool(re.search(r"\.msh$", path))
+
+
+def renamed_key(config: dict, old: str, new: str) -> dict:
+    return {new if k == old else k: v for k, v in config.items()}
+
+
+def save(config: dict, path: str) -> None:
+    """The configuration as JSON on the driver's machine."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(config, f, indent=4, ensure_ascii=False)
+
+
+#: The least and greatest number of each setting.
+RANGES = {
+    "maxIterations": (1, 100_000),
+    "convergenceTolerance": (1e-50, 1e-1),
+    "outputFrequency": (1, 1000),
+    "numBlocks": (1, 1000),
+    "blockSize": (1, 1000),
+    "maxRestarts": (0, 1000),
+    "DesiredAccuracy": (1, 20),
+    "EdgeSize": (0.1, 1000.0),
+}
+
+
+def solver_settings(config: dict) -> dict:
+    """The numbers of RANGES that a configuration holds as text; no number, or one outside its range, raises."""
+    found = {}
+    for key, (low, high) in RANGES.items():
+        if config.get(key) not in (None, ""):
+            value = float(config[key])
+            if not low <= value <= high:
+                raise ValueError(f"{key} {value:g} is not in {low:g}..{high:g}")
+            found[key] = int(value) if isinstance(low, int) else value
+    return found
+
+
+def read_solver_settings(path: str) -> dict:
+    """The same from a file, which must be named .json."""
+    if not path.endswith(".json"):
+        raise ValueError(f"{path} is no .json file")
+    with open(path, encoding="utf-8") as f:
+        return solver_settings(json.load(f))
+
+
+def check_threads(threads: int, available: int) -> int:
+    """At least 1 and at most those available; above 80 % of them warns."""
+    if not 1 <= threads <= available:
+        raise ValueError(f"{threads} threads are not in 1..{available}")
+    if threads > 0.8 * available:
+        warnings.warn(f"{threads} threads are more than 80 % of {available}", stacklevel=2)
+    return threads

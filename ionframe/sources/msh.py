@@ -58,7 +58,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_msh(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the .msh file(s) at ``path``; another extension, or a file without nodes, raises."""
-    if ".msh" not in path.rsplit("/", 1)[-1] and "*" not in path:
+    if not path.endswith(".msh"):
         raise ValueError(f"{path} is no .msh file")
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     rows = texts.mapInPandas(_rows, ROWS)
@@ -100,3 +100,15 @@ def tetras(mesh: DataFrame) -> DataFrame:
 def tree(mesh: DataFrame) -> DataFrame:
     """(entity_dim, entity_tag, element_ids): the elements under each entity."""
     return mesh.where("section = 'element'").groupBy(F.col("dim").alias("entity_dim"), F.col("tag").alias("entity_tag")).agg(F.array_sort(F.collect_list("id")).alias("element_ids"))
+
+
+def group_tag(mesh: DataFrame, name: str) -> int:
+    """The tag of the physical group of that name; none raises."""
+    found = physical_groups(mesh).where(F.col("name") == name).orderBy("tag").limit(1).collect()
+    if not found:
+        raise KeyError(f"no physical group {name}")
+    return found[0]["tag"]
+
+
+def has_group(mesh: DataFrame, name: str) -> bool:
+    return not physical_groups(mesh).where(F.col("name") == name).isEmpty()

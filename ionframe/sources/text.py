@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,35 @@ def read_mesh(spark: SparkSession, path: str) -> DataFrame:
 def mesh_id(group: Column) -> Column:
     """The id in a group name Triangle_<id>."""
     return F.regexp_extract(group, r"^Triangle_(\d+)$", 1).try_cast("bigint")
+
+
+def write_settled(positions: DataFrame, path: str) -> bool:
+    """The settled positions (particle_id, x, y, z) as Parquet; without rows a warning, False, and nothing written."""
+    if positions.isEmpty():
+        warnings.warn("no settled particles to write", stacklevel=2)
+        return False
+    positions.select("particle_id", "x", "y", "z").write.mode("overwrite").parquet(path)
+    return True
+
+
+def read_settled(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_track_table(tracks: DataFrame, path: str) -> bool:
+    """Tracks (particle_id, seq, x, y, z) as Parquet sorted by particle within files, so that a scan by id reads few row groups."""
+    if tracks.isEmpty():
+        return False
+    tracks.select("particle_id", "seq", "x", "y", "z").repartitionByRange("particle_id").sortWithinPartitions("particle_id", "seq").write.mode("overwrite").parquet(path)
+    return True
+
+
+def read_track_table(spark: SparkSession, path: str, particle_id: int | None = None) -> DataFrame:
+    """All tracks, or one particle's by a filter that reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows if particle_id is None else rows.where(F.col("particle_id") == particle_id)
+
+
+def write_density(grid: DataFrame, path: str) -> None:
+    """x y count lines of the grid cells whose count is above 0."""
+    write_numbers(grid.select("x", "y", "cnt").where("cnt > 0"), path, ["x", "y"])

@@ -334,3 +334,59 @@ def test_queries_at_the_reference_parameters(spark, tmp_path):
         want |= {(v, b): n for b, n in seen.items()}
     assert {(r.source, r.tri_id): r.level for r in QUERIES["neighbour_levels_reference"](spark, d).collect()} == want
     assert {(r.source, r.target) for r in QUERIES["distribution_shares_reference"](spark, d).collect()} == set(want)
+
+
+def test_lookups_and_fixed_nodes(spark):
+    tetras = cube(spark)
+    assert fem.total_volume(tetras).first()["volume"] == pytest.approx(1e6)
+    assert fem.with_centre(tetras).where("tetra_id = 0").first()["centre"] == pytest.approx((75.0, 50.0, 25.0))
+    inside = points(spark, [(1, (60.0, 30.0, 10.0)), (3, (500.0, 0.0, 0.0)), (4, (50.0, 50.0, 50.0))], ["id", "pos"])
+    assert sorted(r["id"] for r in spatial.inside_mesh(inside, tetras, 25.0).collect()) == [1, 4]
+    tracked = spark.createDataFrame([(0, 7, 1), (1, 9, 1)], "step int, tetra_id long, particle_id long")
+    asked = spark.createDataFrame([(1, 1), (2, 1)], "step int, particle_id long")
+    assert sorted(map(tuple, gather.tracked_cells(tracked, asked).collect())) == [(1, 1, 9), (2, 1, None)]
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node_id long")
+    assert sorted(r["node_id"] for r in fem.free_nodes(nodes, nodes.where("node_id = 2")).collect()) == [1, 3]
+
+
+def test_matrix_and_vector_tables(spark):
+    m = spark.createDataFrame([(0, 1, 2.5), (1, 0, 3.0), (1, 1, 4.0)], "row long, col long, value double")
+    assert tuple(fem.shape(m).first()) == (2, 2, 3, False) and fem.shape(m.limit(0)).first()["empty"]
+    v = spark.createDataFrame([(0, 1.5), (1, 2.5)], "idx long, value double")
+    assert fem.vector_size(v) == 2 and fem.vector_at(v, 1) == 2.5 and fem.cleared(v).agg(F.sum("value")).first()[0] == 0
+    assert fem.randomised(v, 1).collect() == fem.randomised(v.repartition(2), 1).orderBy("idx").collect()
+    with pytest.raises(IndexError):
+        fem.vector_at(v, -1)
+    fem.check_cell("Tetrahedron")
+    with pytest.raises(NotImplementedError):
+        fem.check_cell("wedge")
+    with pytest.raises(ValueError):
+        fem.check_cell("sphere")
+
+
+def test_settings(tmp_path):
+    assert config.solver_settings({"maxIterations": "200", "convergenceTolerance": "1e-9", "numBlocks": ""}) == {"maxIterations": 200, "convergenceTolerance": 1e-9}
+    for bad in ({"maxIterations": "0"}, {"EdgeSize": "0.01"}, {"DesiredAccuracy": "21"}, {"blockSize": "many"}):
+        with pytest.raises(ValueError):
+            config.solver_settings(bad)
+    config.save(config.renamed_key({"a": 1, "numBlocks": "3"}, "a", "b"), f"{tmp_path}/x.json")
+    assert json.loads((tmp_path / "x.json").read_text()) == {"b": 1, "numBlocks": "3"} and config.read_solver_settings(f"{tmp_path}/x.json") == {"numBlocks": 3}
+    with pytest.raises(ValueError):
+        config.read_solver_settings(f"{tmp_path}/x.txt")
+    assert config.check_threads(2, 8) == 2
+    with pytest.warns(UserWarning):
+        config.check_threads(8, 8)
+    with pytest.raises(ValueError):
+        config.check_threads(0, 8)
+
+
+def test_settled_and_track_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, s, float(i), float(s), 0.0) for i in range(20) for s in range(5)], "particle_id long, seq int, x double, y double, z double")
+    assert text.write_track_table(rows, f"{tmp_path}/t") and not text.write_track_table(rows.limit(0), f"{tmp_path}/u")
+    assert sorted(map(tuple, text.read_track_table(spark, f"{tmp_path}/t", 7).collect())) == [(7, s, 7.0, float(s), 0.0) for s in range(5)]
+    assert text.read_track_table(spark, f"{tmp_path}/t").count() == 100
+    assert text.write_settled(rows.where("seq = 0"), f"{tmp_path}/s") and text.read_settled(spark, f"{tmp_path}/s").count() == 20
+    with pytest.warns(UserWarning):
+        assert not text.write_settled(rows.limit(0), f"{tmp_path}/v")
+    text.write_density(spark.createDataFrame([(1.0, 2.0, 3.0), (0.0, 1.0, 0.0)], "x double, y double, cnt double"), f"{tmp_path}/d")
+    assert [tuple(r) for r in text.read_numbers(spark, f"{tmp_path}/d", ["x", "y", "c"]).collect()] == [(1.0, 2.0, 3.0)]
