@@ -46,7 +46,8 @@ class DigestIndex:
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_len INT, group_size BIGINT, batch INT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/digests'"
         )
-        spark.createDataFrame([], GROUP).write.mode("ignore").parquet(f"{path}/sightings/batch=0")
+        none = spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in GROUP.split(", "))])
+        none.write.mode("ignore").parquet(f"{path}/sightings/batch=0")
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
