@@ -59,7 +59,8 @@ def line_keys(column: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, np
         some, starts, ends = some[long], starts[long], ends[long]
         key = np.stack([span_hashes(data, starts, ends, LOWER, seed) for seed in (1, 2)], axis=1)
         by = np.lexsort((place[some], key[:, 1], key[:, 0], row[some]))
-        same = np.r_[False, (np.diff(row[some][by]) == 0) & (key[by][1:] == key[by][:-1]).all(axis=1)]
+        same = np.zeros(len(by), dtype=bool)
+        same[1:] = (np.diff(row[some][by]) == 0) & (key[by][1:] == key[by][:-1]).all(axis=1)
         first = np.ones(len(some), dtype=bool)
         first[by[same]] = False
         names = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.arange(len(some) + 1, dtype=np.int32) * 32), pa.py_buffer(key.tobytes().hex().encode()))

@@ -101,6 +101,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+LONG = "a line of more than twenty letters that three texts hold"
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "short")],
+        [(1, None)],
+        [(1, "")],
+        [(1, None), (2, ""), (3, "\n"), (4, "x\ny")],
+        [(i, "word %d" % i) for i in range(40)] + [(50 + i, LONG) for i in range(3)],
+        [(1, "\n".join(f"w{i % 977}" for i in range(400_000))), (2, LONG), (3, LONG), (4, LONG + "\nshort"), (5, "é" * 19)],
+    ],
+    ids=["short", "null", "empty", "none keyed", "mixed", "2 MB of short lines"],
+)
+def test_line_dedup_where_few_lines_have_a_key(spark, rows):
+    """Pieces of a batch without any line of enough code points: one row, many, or a long text by itself."""
+    for parts in (1, 3):
+        found = line_dedup.dedup_lines(frame(spark, rows).repartition(parts))
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()), key=str) == brute_lines(rows)
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_runs_hold_each_key_once(spark, batches):
     """Only what the anti-join lets through enters a run, so every key stands in one run, however often batches hold it."""
