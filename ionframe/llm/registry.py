@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ionframe.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity, url_filter, warc
+from ionframe.llm import divergence, embedding_dedup, exact_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_warc": warc.op10_warc,
+    "op11_divergence_audit": divergence.op11_divergence_audit,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -25,4 +28,6 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_ngram_join": ngram_join.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_divergence_audit": divergence.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
