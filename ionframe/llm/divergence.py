@@ -184,9 +184,8 @@ def _refined(ties: DataFrame, scratch: Scratch) -> DataFrame:
         out.append(scratch.table(sorted_out.where(keep).select(*GROUP, "item", "value"), name))
         again = sorted_out.where((F.col("digit") == F.col("last")) & (F.col("n") > F.col("left")))
         ties = scratch.table(again.select(*GROUP, "item", "value", F.col("left").alias("need"), "bytes"), "ties")
-    scratch.drop("ties")
-    found = out[0] if out else ties.select(*GROUP, "item", "value")
-    for more in out[1:]:
+    found = ties.select(*GROUP, "item", "value")  # none are left
+    for more in out:
         found = found.unionByName(more)
     return found
 
