@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionframe.functions import vectors as V
 from ionframe.functions.rng import between, draw
-from ionframe.storage import materialise, new_path, remove
+from ionframe.operators import krylov
 
 #: Cubature points of a tetrahedron by desired accuracy, 1 to 20.
 CUBATURE_POINTS = {1: 1, 2: 4, 3: 5, 4: 11, 5: 14, 6: 24, 7: 31, 8: 43, 9: 126, 10: 126, 11: 126, 12: 210, 13: 210, 14: 330, 15: 330, 16: 495, 17: 495, 18: 715, 19: 715, 20: 1001}
@@ -81,51 +81,45 @@ def symmetric(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame) -> tuple
     return inner.unionByName(eye), free.unionByName(known)
 
 
-def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-9, max_iterations: int = 500) -> DataFrame:
-    """(idx, value) of the solution of a symmetric positive system, diagonally preconditioned.
+#: Names of orthogonalisations; all are done by projecting every direction twice.
+ORTHOGONALIZATIONS = ("DGKS", "ICGS", "IMGS")
 
-    The form of Chronopoulos and Gear: an iteration is one product, one table (idx, x, r, p, s, d, w) and one job for its
-    three sums, the only numbers that reach the driver. The table before the last is deleted.
+
+def solver_options(solver: str, settings: dict) -> dict:
+    """What a solver takes of settings (names as in configurations); what only says how to report or to deal out is left."""
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver}")
+    kind = settings.get("orthogonalization") or ORTHOGONALIZATIONS[0]
+    if kind not in ORTHOGONALIZATIONS:
+        raise ValueError(f"unknown orthogonalization {kind}")
+    names = {"maxIterations": "max_iterations", "convergenceTolerance": "tolerance"}
+    if solver.endswith("GMRES"):
+        names |= {"numBlocks": "basis", "maxRestarts": "max_restarts"}
+    return {names[k]: v for k, v in settings.items() if k in names}
+
+
+def solve(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame, solver: str = "CG", options: dict | None = None) -> DataFrame:
+    """The potential (idx, value) under Dirichlet conditions by one of ``SOLVERS``, an unknown name raises.
+
+    Symmetric methods get the symmetric form of the conditioned system, the others its rows of the identity.
     """
-    spark = matrix.sparkSession
-    matrix = materialise(matrix, "matrix")
-    diagonal = matrix.where("row = col").groupBy(F.col("row").alias("idx")).agg(F.sum("value").alias("d"))
-    zero = F.lit(0.0)
-    r, d, w = F.col("r"), F.col("d"), F.col("w")
-    paths: list[str] = []
-
-    def with_product(state: DataFrame) -> DataFrame:
-        """Adds w, the matrix times the preconditioned residual."""
-        product = spmv(matrix, state.select("idx", (r / d).alias("value"))).select("idx", F.col("value").alias("w"))
-        paths.append(new_path(spark, "cg"))
-        state.join(product, "idx", "left").withColumn("w", F.coalesce("w", zero)).write.parquet(paths[-1])
-        if len(paths) > 1:
-            remove(spark, paths[-2])
-        return spark.read.schema("idx long, x double, r double, p double, s double, d double, w double").parquet(paths[-1])
-
-    residual = rhs.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.sum("value").cast("double").alias("r"))
-    state = with_product(residual.join(diagonal, "idx", "left").select("idx", zero.alias("x"), "r", zero.alias("p"), zero.alias("s"), F.coalesce("d", F.lit(1.0)).alias("d")))
-    before = step = first = None
-    for _ in range(max_iterations):
-        rz, wz, rr = state.agg(F.sum(r * r / d), F.sum(w * r / d), F.sum(r * r)).first()
-        first = rr if first is None else first
-        if not rr or rr <= tolerance * tolerance * first:
-            break
-        turn = rz / before if before else 0.0
-        bottom = wz - turn * rz / step if before else wz
-        if not bottom:
-            break
-        before, step = rz, rz / bottom
-        p, s = r / d + turn * F.col("p"), w + turn * F.col("s")
-        state = with_product(state.select("idx", (F.col("x") + step * p).alias("x"), (r - step * s).alias("r"), p.alias("p"), s.alias("s"), "d"))
-    return state.select("idx", F.col("x").alias("value"))
-
-
-def solve(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame, solver: str = "CG", **options) -> DataFrame:
-    """The potential (idx, value) under Dirichlet conditions; all solver names lead to one method, an unknown one raises."""
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver}")
-    return conjugate_gradient(*symmetric(matrix, rhs, conditions), **options)
+    if solver in ("CG", "Block CG", "MINRES"):
+        matrix, rhs = symmetric(matrix, rhs, conditions)
+    else:
+        matrix, rhs = dirichlet_matrix(matrix, conditions), dirichlet_rhs(rhs, conditions)
+    single = {"CG": krylov.conjugate_gradient, "GMRES": krylov.gmres, "MINRES": krylov.minres, "LSQR": krylov.lsqr}
+    if solver in single:
+        return single[solver](matrix, rhs, **(options or {}))
+    block = {"Block CG": krylov.block_conjugate_gradient, "Block GMRES": krylov.block_gmres}[solver]
+    return block(matrix, rhs.select("idx", F.lit(0).alias("rhs"), "value"), **(options or {})).select("idx", "value")
+
+
+def residual(matrix: DataFrame, rhs: DataFrame, solution: DataFrame) -> DataFrame:
+    """(idx, value): the right side minus the product of the matrix and a solution, for each index that either has."""
+    parts = rhs.select("idx", "value").unionByName(spmv(matrix, solution).select("idx", (-F.col("value")).alias("value")))
+    return parts.groupBy("idx").agg(F.sum("value").alias("value"))
 
 
 def field(tetras: DataFrame, potential: DataFrame) -> DataFrame:

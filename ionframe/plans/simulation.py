@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ class Run:
     seed: int = 0
     sputtering: bool = False
     solver: str = "CG"
+    solver_settings: dict = field(default_factory=dict)
 
     def steps(self) -> int:
         """How many steps the accumulated time stays within the duration, ends included."""
@@ -58,7 +59,7 @@ def fields(particles: DataFrame, tetras: DataFrame, conditions: DataFrame, matri
     density = gather.node_density(cells, fem.tetra_nodes(tetras))
     nodes = fem.tetra_nodes(tetras).select("node_id").distinct()
     rhs = nodes.join(density, "node_id", "left").select((F.col("node_id") - 1).alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    potential = fem.solve(matrix, rhs, conditions, run.solver).select((F.col("idx") + 1).alias("node_id"), F.col("value").alias("phi"))
+    potential = fem.solve(matrix, rhs, conditions, run.solver, fem.solver_options(run.solver, run.solver_settings)).select((F.col("idx") + 1).alias("node_id"), F.col("value").alias("phi"))
     at = located.groupBy("id").agg(F.min("tetra_id").alias("tetra_id"))
     return at.join(fem.field(tetras, potential), "tetra_id").select("id", V.vec("ex", "ey", "ez").alias("e"))
 
