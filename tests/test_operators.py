@@ -38,6 +38,35 @@ def test_segment_hits(spark, case, edge):
     assert (found == []) if at is None else tuple(found[0]["point"]) == pytest.approx(at, abs=1e-5)
 
 
+@pytest.mark.parametrize("edge", [0.7, 3.0, 50.0])
+def test_traversal_finds_what_all_pairs_find(spark, edge):
+    """Long segments, large and flat triangles, and coordinates on the planes between cells, against every pair."""
+    rng = np.random.default_rng(int(edge * 10))
+    place = lambda size: rng.normal(0, size, 3) if rng.random() < 0.6 else np.round(rng.normal(0, size, 3) / edge) * edge
+    segments = [(i, tuple(map(float, place(6))), tuple(map(float, place(6)))) for i in range(60)]
+    segments += [(100, (1.0, 1.0, 1.0), (1.0, 1.0, 1.0)), (101, (-20.0, 0.0, 0.0), (20.0, 0.0, 0.0)), (102, (0.0, 0.0, 15.0), (0.0, 0.0, -15.0))]
+    triangles = [(i, *[tuple(map(float, place(4))) for _ in range(3)]) for i in range(60)]
+    triangles += [(200, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (2.0, 2.0, 2.0)), (201, (0.0, -9.0, -9.0), (0.0, 9.0, -9.0), (0.0, 0.0, 9.0)), (202, (-5.0, -5.0, 0.0), (5.0, -5.0, 0.0), (0.0, 5.0, 0.0))]
+    want, touched = set(), set()
+    for i, p0, p1 in segments:
+        d = np.subtract(p1, p0)
+        for t, a, b, c in triangles:
+            e1, e2, s = np.subtract(b, a), np.subtract(c, a), np.subtract(p0, a)
+            det = e1 @ np.cross(d, e2)
+            if det:
+                u, w, share = s @ np.cross(d, e2) / det, d @ np.cross(s, e1) / det, e2 @ np.cross(s, e1) / det
+                margin = min(u, w, 1 - u - w, share, 1 - share)
+                if margin > -1e-9:
+                    (want if margin > 1e-9 else touched).add((i, t, round(float(share), 7)))
+    frames = points(spark, segments, ["id", "p0", "p1"]), points(spark, triangles, ["tri_id", "v0", "v1", "v2"])
+    found = [(r.id, r.tri_id, round(r.share, 7)) for r in spatial.segment_hits(*frames, edge).collect()]
+    assert len(found) == len(set(found)) and want <= set(found) <= want | touched
+    nearest = {}
+    for i, t, share in found:
+        nearest[i] = min(nearest.get(i, (2, 0)), (share, t))
+    assert {(r.id, round(r.share, 7)) for r in spatial.first_hits(*frames, edge).collect()} == {(i, s) for i, (s, _) in nearest.items()}
+
+
 def cube(spark):
     """A 100-cube in six tetrahedra around its diagonal."""
     corner = {n: tuple(100.0 * ((n >> k) & 1) for k in range(3)) for n in range(8)}
