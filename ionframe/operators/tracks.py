@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ionframe.operators import graph
+
 
 def ordered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``seq``, from 0, within each key."""
@@ -48,11 +50,7 @@ def nested(tracks: DataFrame, least: int = 2) -> DataFrame:
 
 def spaced_values(df: DataFrame, value: str, n: int) -> DataFrame:
     """(pos, value): ``n`` evenly spaced of the sorted distinct values, places rounded half to even."""
-    ranked = df.select(value).where(F.col(value).isNotNull()).distinct()
-    total = ranked.count()
-    at: Column = F.row_number().over(W.orderBy(value)) - 1
-    places = df.sparkSession.range(n).select(F.col("id").alias("pos"), F.bround(F.col("id") * float(max(total - 1, 0)) / max(n - 1, 1), 0).cast("int").alias("at")) if total else df.sparkSession.range(0).select(F.col("id").alias("pos"), F.col("id").cast("int").alias("at"))
-    return ranked.withColumn("at", at).join(F.broadcast(places), "at").select("pos", value)
+    return graph.spaced(df, value, n)
 
 
 def longest(tracks: DataFrame) -> DataFrame:

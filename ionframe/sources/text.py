@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionframe.sources.framed import write_framed
+
 VECTOR_LINE = r"VP\(([^)]*)\)\{([^}]*)\};"
 TRACKS = "map<string,array<struct<x:double,y:double,z:double>>>"
 
@@ -50,9 +52,8 @@ def _check_time(time: float) -> None:
 
 
 def _lines(rows: DataFrame, head: str, path: str) -> None:
-    one = rows.sparkSession.range(1)
-    ends = one.select(F.lit(0).alias("k"), F.lit(head).alias("value")).unionByName(one.select(F.lit(2).alias("k"), F.lit("};").alias("value")))
-    rows.select(F.lit(1).alias("k"), "value").unionByName(ends).orderBy("k").select("value").write.mode("overwrite").text(path)
+    """One file at ``path``: the head, the rows' lines in their order, the end; tasks write parts that the commit joins."""
+    write_framed(rows, path, head, "};")
 
 
 def read_tracks(spark: SparkSession, path: str, particle_id: int | None = None) -> DataFrame:
@@ -79,7 +80,8 @@ def read_numbers(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def write_numbers(df: DataFrame, path: str, order: list[str]) -> None:
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, sep=" ")
+    """One file of space-separated numbers in the order of some columns: sorted by ranges, joined by the commit."""
+    write_framed(df.orderBy(*order).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]).alias("value")), path, "", "")
 
 
 def write_mesh(triangles: DataFrame, path: str) -> bool:

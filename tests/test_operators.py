@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,8 +279,64 @@ def test_msh(spark, tmp_path):
     with pytest.raises(ValueError):
         msh.read_msh(spark, str(tmp_path / "b.txt"))
     (tmp_path / "c.msh").write_text("")
-    with pytest.raises(ValueError):
-        msh.read_msh(spark, str(tmp_path / "c.msh"))
+    (tmp_path / "d.msh").mkdir()
+    for name, error in (("c", ValueError), ("d", IsADirectoryError), ("e", FileNotFoundError)):
+        with pytest.raises(error):
+            msh.read_msh(spark, str(tmp_path / f"{name}.msh"))
+    (tmp_path / "f.msh").write_text("$MeshFormat\n4.1 0 8\n$EndMeshFormat\n")
+    with pytest.raises(Exception, match="no mesh"):
+        msh.nodes(msh.read_msh(spark, str(tmp_path / "f.msh"))).count()
+    assert msh.group_tag(found, "Target side") == msh.physical_groups(found).first()["tag"]
+    assert msh.has_group(found, "Target side") and not msh.has_group(found, "other")
+    with pytest.raises(KeyError):
+        msh.group_tag(found, "other")
+
+
+def test_msh_index_finds_every_line(monkeypatch, tmp_path):
+    """Chunks that cut lines and section names anywhere, and partitions of two lines."""
+    file = tmp_path / "a.msh"
+    file.write_text(MSH)
+    want = [len(x) for x in MSH.splitlines(keepends=True)]
+    for chunk in (1, 2, 7, 64, 4096):
+        monkeypatch.setattr(msh, "CHUNK", chunk)
+        monkeypatch.setattr(msh, "ROWS_EACH", 2)
+        with open(file, "rb") as f:
+            lines = msh.Lines(pa.PythonFile(f))
+            assert [lines.place(k) for k in range(len(want) + 1)] == [sum(want[:k]) for k in range(len(want) + 1)]
+            assert {"Nodes", "EndNodes", "Elements", "EndElements"} <= set(lines.sections)
+            parts = list(msh.blocks(str(file), lines))
+        rows = [r for reader in [msh.MshReader(str(file), set(msh.SECTIONS.values()))] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(r["id"] for r in rows if r["section"] == "node") == [1, 2, 3, 4, 5]
+        assert sum(r["section"] == "node" for r in rows) == 5 and max(len(p.section) for p in parts) and sum(p.section == "node" for p in parts) >= 3
+
+
+def test_large_msh_is_read_by_several_tasks(spark, tmp_path):
+    """A million elements through the sink and back; filters choose partitions before tasks run."""
+    points = spark.range(1, 250_001).select(F.col("id").alias("node_id"), (F.col("id") / 7).alias("x"), (-F.col("id") / 3).alias("y"), F.lit(0.5).alias("z"))
+    cells = spark.range(1, 1_000_001).select(F.col("id").alias("tetra_id"), *[((F.col("id") * k) % 250_000 + 1).alias(f"n{i}") for i, k in enumerate((1, 3, 7, 11))])
+    path = f"{tmp_path}/big.msh"
+    msh.write_msh(points, cells, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["big.msh"]
+    found = msh.read_msh(spark, path)
+    solid = msh.elements(found, 4)
+    assert solid.rdd.getNumPartitions() == 10 and msh.nodes(found).rdd.getNumPartitions() == 3
+    assert msh.elements(found, 2).rdd.getNumPartitions() == 1 and msh.elements(found, 2).count() == 0
+    assert spark.read.format("msh").load(path).groupBy("section").count().count() == 2
+    read = solid.select(F.col("element_id").alias("tetra_id"), *[F.col("nodes")[i].alias(f"n{i}") for i in range(4)])
+    assert read.exceptAll(cells).isEmpty() and read.count() == 1_000_000
+    assert msh.nodes(found).exceptAll(points).isEmpty()
+
+
+def test_framed_text_leaves_no_trace_of_a_failed_job(spark, tmp_path):
+    from ionframe.sources import framed
+
+    bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 99, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("lost"))).alias("line"))
+    with pytest.raises(Exception, match="lost"):
+        framed.write_framed(bad, f"{tmp_path}/x.txt", "begin", "end")
+    assert list(tmp_path.iterdir()) == []
+    framed.write_framed(spark.range(0, 1000, 1, 7).orderBy(F.col("id").desc()).select(F.col("id").cast("string")), f"{tmp_path}/x.txt", "begin", "end")
+    assert (tmp_path / "x.txt").read_text().splitlines() == ["begin", *map(str, range(999, -1, -1)), "end"]
+    assert [p.name for p in tmp_path.iterdir()] == ["x.txt"]
 
 
 def test_sinks(spark, tmp_path):
