@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionframe.functions import vectors as V
 from ionframe.functions.rng import between, draw
-from ionframe.operators import krylov
+from ionframe.operators import krylov, multigrid
 
 #: Cubature points of a tetrahedron by desired accuracy, 1 to 20.
 CUBATURE_POINTS = {1: 1, 2: 4, 3: 5, 4: 11, 5: 14, 6: 24, 7: 31, 8: 43, 9: 126, 10: 126, 11: 126, 12: 210, 13: 210, 14: 330, 15: 330, 16: 495, 17: 495, 18: 715, 19: 715, 20: 1001}
@@ -85,6 +85,10 @@ def symmetric(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame) -> tuple
 ORTHOGONALIZATIONS = ("DGKS", "ICGS", "IMGS")
 
 
+#: Preconditioners by solver beside its own diagonal one.
+PRECONDITIONERS = {"CG": ("AMG",)}
+
+
 def solver_options(solver: str, settings: dict) -> dict:
     """What a solver takes of settings (names as in configurations); what only says how to report or to deal out is left."""
     if solver not in SOLVERS:
@@ -95,7 +99,10 @@ def solver_options(solver: str, settings: dict) -> dict:
     names = {"maxIterations": "max_iterations", "convergenceTolerance": "tolerance"}
     if solver.endswith("GMRES"):
         names |= {"numBlocks": "basis", "maxRestarts": "max_restarts"}
-    return {names[k]: v for k, v in settings.items() if k in names}
+    kind = settings.get("preconditioner") or None
+    if kind not in (None, *PRECONDITIONERS.get(solver, ())):
+        raise ValueError(f"{solver} has no preconditioner {kind}")
+    return {names[k]: v for k, v in settings.items() if k in names} | ({"preconditioner": kind} if kind else {})
 
 
 def solve(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame, solver: str = "CG", options: dict | None = None) -> DataFrame:
@@ -109,11 +116,14 @@ def solve(matrix: DataFrame, rhs: DataFrame, conditions: DataFrame, solver: str
         matrix, rhs = symmetric(matrix, rhs, conditions)
     else:
         matrix, rhs = dirichlet_matrix(matrix, conditions), dirichlet_rhs(rhs, conditions)
+    options = dict(options or {})
+    if options.pop("preconditioner", None):
+        return multigrid.conjugate_gradient(matrix, rhs, **options)
     single = {"CG": krylov.conjugate_gradient, "GMRES": krylov.gmres, "MINRES": krylov.minres, "LSQR": krylov.lsqr}
     if solver in single:
-        return single[solver](matrix, rhs, **(options or {}))
+        return single[solver](matrix, rhs, **options)
     block = {"Block CG": krylov.block_conjugate_gradient, "Block GMRES": krylov.block_gmres}[solver]
-    return block(matrix, rhs.select("idx", F.lit(0).alias("rhs"), "value"), **(options or {})).select("idx", "value")
+    return block(matrix, rhs.select("idx", F.lit(0).alias("rhs"), "value"), **options).select("idx", "value")
 
 
 def residual(matrix: DataFrame, rhs: DataFrame, solution: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.operators import fem, krylov
+from ionframe.operators import fem, krylov, multigrid
 from ionframe.queries import bound_tetras, query, r
 from ionframe.storage import table
 
@@ -105,6 +105,24 @@ def lsqr_unit_prices(spark: SparkSession, d: str) -> DataFrame:
     return krylov.lsqr(lines, lines.select(F.col("row").alias("idx"), F.col("price").alias("value")), 1e-12).select("idx", r("value", 4).alias("value"))
 
 
+def _chain_sql(steps: int = 60) -> str:
+    """SQL of the chain's system by fixed-point steps, each of which takes the error to two thirds."""
+    parts = ["s AS MATERIALIZED (SELECT c_custkey AS idx, CAST(c_acctbal AS DOUBLE) / 1000 AS b FROM customer)", "x0 AS (SELECT idx, b, b / 3 AS x FROM s)"]
+    for j in range(1, steps + 1):
+        parts.append(f"x{j} AS MATERIALIZED (SELECT o.idx, o.b, (o.b + coalesce(p.x, 0) + coalesce(q.x, 0)) / 3 AS x FROM x{j - 1} o LEFT JOIN x{j - 1} p ON p.idx = o.idx - 1 LEFT JOIN x{j - 1} q ON q.idx = o.idx + 1)")
+    return "WITH " + ",\n".join(parts) + f" SELECT idx, round(x, 4) AS value FROM x{steps}"
+
+
+@query(_chain_sql())
+def multigrid_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A chain over all customers, each linked with the next, by conjugate gradients with V-cycles."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal").cast("double") / 1000).alias("value"))
+    beside = c.select("idx", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).select(F.col("idx").alias("row"), (F.col("idx") + F.col("step")).alias("col"))
+    off = beside.join(c.select(F.col("idx").alias("col")), "col").select("row", "col", F.lit(-1.0).alias("value"))
+    entries = off.unionByName(c.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(3.0).alias("value")))
+    return multigrid.conjugate_gradient(entries, c, 1e-8).select("idx", r("value", 4).alias("value"))
+
+
 @query("SELECT DISTINCT unnest([vec_id % 61, (vec_id * 3 + 5) % 61, (vec_id * 7 + 10) % 61, (vec_id * 13 + 15) % 61]) AS idx, true AS solved FROM embeddings")
 def potential_residual(spark: SparkSession, d: str) -> DataFrame:
     """Whether the potential of a mesh meets its conditioned equation at each node."""

@@ -127,6 +127,9 @@ def test_solve_by_name_and_settings(spark):
         assert np.allclose(dense(fem.solve(chain, zero, ends, name), 6), np.arange(6.0), atol=1e-6), name
     with pytest.raises(krylov.NotConverged):
         fem.solve(chain, zero, ends, "GMRES", fem.solver_options("GMRES", {"maxIterations": 2, "convergenceTolerance": 1e-12}))
+    assert np.allclose(dense(fem.solve(chain, zero, ends, "CG", fem.solver_options("CG", {"preconditioner": "AMG"})), 6), np.arange(6.0), atol=1e-6)
+    with pytest.raises(ValueError):
+        fem.solver_options("LSQR", {"preconditioner": "AMG"})
     with pytest.raises(ValueError):
         fem.solve(chain, zero, ends, "Jacobi")
     with pytest.raises(ValueError):
