@@ -125,7 +125,7 @@ def _sides(rhs: DataFrame) -> list:
     return sorted(r[0] for r in rhs.select("rhs").distinct().collect())
 
 
-def _start(matrix: Matrix, rhs: DataFrame, sides: list) -> DataFrame:
+def _unknowns(matrix: Matrix, rhs: DataFrame, sides: list) -> DataFrame:
     """(idx, d, b0, b1, ...): a row for each index of the system, d its diagonal entry, 1 where there is none."""
     wide = rhs.groupBy(F.col("idx").cast("long").alias("idx")).agg(*[F.sum(F.when(F.col("rhs") == s, F.col("value").cast("double")).otherwise(0.0)).alias(f"b{c}") for c, s in enumerate(sides)])
     every = matrix.indexes().unionByName(wide.select("idx")).distinct()
@@ -160,7 +160,7 @@ def conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: float = TO
             """Adds w, the matrix times the preconditioned residual."""
             return scratch.table(_joined(state, matrix.times(state, {"w": r / d}), "w"), "conjugate-gradient")
 
-        state = _start(matrix, _vector(rhs), [0]).select("idx", zero.alias("x"), F.col("b0").alias("r"), zero.alias("p"), zero.alias("s"), "d")
+        state = _unknowns(matrix, _vector(rhs), [0]).select("idx", zero.alias("x"), F.col("b0").alias("r"), zero.alias("p"), zero.alias("s"), "d")
         state = with_product(scratch.table(state, "right-side"))
         before = step = whole = None
         for n in range(max_iterations + 1):
@@ -194,7 +194,7 @@ def block_conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: floa
         return rhs.select(F.col("idx").cast("long").alias("idx"), "rhs", F.col("value").cast("double").alias("value"))
     d = F.col("d")
     with Matrix(entries) as matrix:
-        state = scratch.table(_start(matrix, rhs, sides), "right-sides")
+        state = scratch.table(_unknowns(matrix, rhs, sides), "right-sides")
         r, p, q = (_columns(n, k) for n in "rpq")
         state = state.select("idx", "d", *[F.lit(0.0).alias(f"x{c}") for c in range(k)], *[F.col(f"b{c}").alias(f"r{c}") for c in range(k)], *[(F.col(f"b{c}") / d).alias(f"p{c}") for c in range(k)])
         whole = None
@@ -241,7 +241,7 @@ def block_gmres(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE
     d, w, r = F.col("d"), _columns("w", k), _columns("r", k)
     kept = ["idx", "d", *[f"b{c}" for c in range(k)], *[f"x{c}" for c in range(k)]]
     with Matrix(entries) as matrix:
-        state = _start(matrix, rhs, sides).withColumns({f"x{c}": F.lit(0.0) for c in range(k)} | {f"r{c}": F.col(f"b{c}") for c in range(k)})
+        state = _unknowns(matrix, rhs, sides).withColumns({f"x{c}": F.lit(0.0) for c in range(k)} | {f"r{c}": F.col(f"b{c}") for c in range(k)})
         state = scratch.table(state, "residual")
         whole = before = None
         n = cycles = 0
@@ -298,7 +298,7 @@ def minres(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE, max
     scratch = Scratch(entries.sparkSession)
     u, v, p, x, c1, c2 = (F.col(n) for n in ("u", "v", "p", "x", "c1", "c2"))
     with Matrix(entries) as matrix:
-        state = scratch.table(_start(matrix, _vector(rhs), [0]), "right-side")
+        state = scratch.table(_unknowns(matrix, _vector(rhs), [0]), "right-side")
         zero = F.lit(0.0)
         size = whole = math.sqrt(_sums(state, F.col("b0") * F.col("b0"))[0])
         if not whole:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.operators.krylov import ITERATIONS, TOLERANCE, Matrix, NotConverged, _joined, _start, _sums, _vector
+from ionframe.operators.krylov import ITERATIONS, TOLERANCE, Matrix, NotConverged, _joined, _unknowns, _sums, _vector
 from ionframe.storage import Scratch
 
 THETA, COARSE, LEVELS = 0.08, 600, 20
@@ -154,8 +154,8 @@ def conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: float = TO
     scratch = Scratch(entries.sparkSession)
     x, r, p, q, z = (F.col(n) for n in "xrpqz")
     with Matrix(entries) as matrix, Hierarchy(matrix, theta, coarse) as levels:
-        start = _start(matrix, _vector(rhs), [0])
-        state = scratch.table(start.select("idx", F.lit(0.0).alias("x"), F.col("b0").alias("r")), "right-side")
+        begun = _unknowns(matrix, _vector(rhs), [0])
+        state = scratch.table(begun.select("idx", F.lit(0.0).alias("x"), F.col("b0").alias("r")), "right-side")
         whole, before = _sums(state, r * r)[0], None
         if counts is not None:
             counts.append(levels.sizes())

@@ -42,7 +42,7 @@ class State:
     tracks: DataFrame  # particle_id, seq, x, y, z
 
 
-def start(particles: DataFrame) -> State:
+def initial(particles: DataFrame) -> State:
     spark = particles.sparkSession
     return State(
         materialise(particles.select("id", "species", "pos", "v", "energy_j"), "particles"),
@@ -91,7 +91,7 @@ def step(state: State, number: int, run: Run, triangles: DataFrame, box: dict, e
 def simulate(particles: DataFrame, triangles: DataFrame, box: dict, run: Run, tetras: DataFrame | None = None, conditions: DataFrame | None = None, emit=None) -> State:
     """All steps, until the time is over or every particle has settled. With ``emit`` and sputtering, particles are added in
     every step but the first and the last; without sputtering, and given tetrahedra, the field is solved in each step."""
-    state, total = start(particles), particles.count()
+    state, total = initial(particles), particles.count()
     solve = not run.sputtering and tetras is not None and conditions is not None
     matrix = materialise(fem.stiffness(tetras), "stiffness") if solve else None
     last = run.steps() - 1

@@ -82,10 +82,10 @@ def particle(spark, v=(3.0, 4.0, 0.0), species="Ti"):
 
 @pytest.mark.parametrize("model,gas", [("HS", "Ar"), ("vhs", "Ne"), ("VSS", "He")])
 def test_collisions_are_sure_or_never(spark, model, gas):
-    start = particle(spark, (3000.0, 4000.0, 100.0))
-    sure = physics.collide(start, model, gas, 1e26, 0.01, 1, 0)
+    before = particle(spark, (3000.0, 4000.0, 100.0))
+    sure = physics.collide(before, model, gas, 1e26, 0.01, 1, 0)
     assert sure.where("collided").count() == 400
-    never = physics.collide(start, model, gas, 1.0, 1.0, 1, 0)
+    never = physics.collide(before, model, gas, 1.0, 1.0, 1, 0)
     assert never.where("collided").count() == 0
     # energy in the centre-of-mass frame is kept: the relative part keeps its length
     m, t = constants.BY_NAME["Ti"][1], constants.BY_NAME[gas][1]

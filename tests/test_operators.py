@@ -362,16 +362,16 @@ def test_sinks(spark, tmp_path):
 
 def test_simulation_settles_on_the_wall(spark):
     wall = points(spark, [(1, (-10.0, -10.0, 5.0), (10.0, -10.0, 5.0), (0.0, 20.0, 5.0))], ["tri_id", "v0", "v1", "v2"])
-    start = spark.createDataFrame([(i, "Ti") for i in range(6)], "id long, species string").withColumn("pos", V.vec(0, 0, 0)).withColumn("v", V.vec(0, 0, F.when(F.col("id") == 5, 1.0).otherwise(100.0 + F.col("id")))).withColumn("energy_j", F.lit(1.0))
+    fresh = spark.createDataFrame([(i, "Ti") for i in range(6)], "id long, species string").withColumn("pos", V.vec(0, 0, 0)).withColumn("v", V.vec(0, 0, F.when(F.col("id") == 5, 1.0).otherwise(100.0 + F.col("id")))).withColumn("energy_j", F.lit(1.0))
     box = {f"{a}_{m}": s * 20.0 for a in "xyz" for m, s in (("min", -1), ("max", 1))}
     run = simulation.Run(dt=0.02, duration=0.2, gas="Ar", model="HS", concentration=1.0, edge=5.0, sputtering=True)
-    state = simulation.simulate(start, wall, box, run)
+    state = simulation.simulate(fresh, wall, box, run)
     assert {r.particle_id for r in state.settled.collect()} == {0, 1, 2, 3, 4}  # particle 5 is too slow to move
     assert gather.settled_counts(state.settled).first().cnt == 5
     assert run.steps() in (10, 11) and state.tracks.where("particle_id = 5").count() == 0
     with_field = simulation.Run(dt=0.02, duration=0.02, gas="Ar", model="HS", concentration=1.0, edge=50.0)
     bc = spark.createDataFrame([(1, 0.0), (8, 1.0)], "node_id long, value double")
-    inside = start.withColumn("pos", V.vec(60, 30, 10))
+    inside = fresh.withColumn("pos", V.vec(60, 30, 10))
     box = {f"{a}_{m}": v for a in "xyz" for m, v in (("min", 0.0), ("max", 100.0))}
     assert simulation.simulate(inside, wall, box, with_field, cube(spark), bc).particles.count() == 6
 
