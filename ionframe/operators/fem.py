@@ -192,7 +192,7 @@ def free_nodes(nodes: DataFrame, fixed: DataFrame) -> DataFrame:
     return nodes.join(fixed.select("node_id"), "node_id", "left_anti")
 
 
-#: What an element can be; only linear tetrahedra are computed.
+#: What an element can be; only tetrahedra are computed.
 CELLS, ORDERS = ("triangle", "pyramid", "wedge", "tetrahedron", "hexahedron"), (1, 2)
 
 
@@ -200,5 +200,5 @@ def check_cell(cell: str, order: int = 1) -> None:
     """Raises for an unknown cell or order, and for those that are known and not computed."""
     if cell.lower() not in CELLS or order not in ORDERS:
         raise ValueError(f"unknown cell {cell} of order {order}")
-    if cell.lower() != "tetrahedron" or order != 1:
-        raise NotImplementedError(f"only linear tetrahedra are computed, not {cell} of order {order}")
+    if cell.lower() != "tetrahedron":
+        raise NotImplementedError(f"only tetrahedra are computed, not {cell} of order {order}")
