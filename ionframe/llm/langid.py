@@ -2,8 +2,9 @@
 
 Features are character 1- to 3-grams of the lower-cased whole text (anything but letters counts as one space), hashed to
 ``DIMENSIONS`` columns, weighted (1 + ln tf) * idf and scaled to length 1. The model is trained with
-follow-the-regularised-leader (FTRL-proximal) under L1 and L2 penalties, which leaves most weights zero; a temperature
-fitted on a part of the training rows kept apart calibrates its probabilities.
+follow-the-regularised-leader (FTRL-proximal) under L1 and L2 penalties, which leaves most weights zero. A temperature
+fitted on a part of the training rows kept apart, and on pieces of ``PIECE_WORDS`` words from anywhere in them, calibrates
+its probabilities; the pieces are there because whole texts alone are all told rightly and would draw it to nothing.
 
 Training rows are a bounded sample: at most ``max_docs`` documents (one of each language where languages are more),
 equally many of each language where there are enough, chosen by a hash of doc_id and text. Every language is learned. The
@@ -34,8 +35,10 @@ from ionframe.llm.textscan import buffers, pieces
 from ionframe.storage import materialise, table
 
 DIMENSIONS, ORDERS = 1 << 13, (1, 2, 3)
-MAX_TRAIN_DOCS, PIECE_ROWS = 3000, 256
+MAX_TRAIN_DOCS, PIECE_ROWS, PIECE_WORDS = 3000, 256, (1, 2, 4, 8)
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
+#: The least inverse temperature: where examples contradict the weights altogether, languages keep their order.
+LEAST_SHARPNESS = 1e-3
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -89,11 +92,11 @@ class Model:
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray
-    temperature: float
+    sharpness: float  # the inverse temperature
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         x = scaled(counts, self.idf)
-        return softmax(x @ self.weights / self.temperature)
+        return softmax(x @ self.weights * self.sharpness)
 
 
 def scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -109,8 +112,39 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
-    """Fits the model to (language, columns, counts); every fifth row only calibrates."""
+def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The inverse temperature under which the true languages are likeliest.
+
+    The loss is convex in it, and Newton steps have no bounds. The truth counts (n + 1) / (n + 2) of each of n examples, the
+    rest is dealt to the other languages, so that faultless examples do not sharpen it without end.
+    """
+    n, size = logits.shape
+    if not n or size < 2:
+        return 1.0
+    wanted = np.full((n, size), 1 / (n + 2) / (size - 1))
+    wanted[np.arange(n), truth] = (n + 1) / (n + 2)
+
+    def loss(sharp: float) -> float:
+        x = logits * sharp
+        top = x.max(axis=1)
+        return float((np.log(np.exp(x - top[:, None]).sum(axis=1)) + top - (wanted * x).sum(axis=1)).sum())
+
+    sharp = 1.0
+    for _ in range(100):
+        p = softmax(logits * sharp)
+        mean = (p * logits).sum(axis=1)
+        slope, bend = (mean - (wanted * logits).sum(axis=1)).sum(), ((p * logits**2).sum(axis=1) - mean**2).sum()
+        if bend <= 0 or abs(slope) <= 1e-9 * n:
+            break
+        step = slope / bend
+        while loss(sharp - step) > loss(sharp) and abs(step) > 1e-9:
+            step /= 2
+        sharp -= step
+    return max(float(sharp), LEAST_SHARPNESS)
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], pieces_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] | None = None) -> Model | None:
+    """Fits the model to (language, columns, counts); every fifth row, with its pieces (by the row's place), only calibrates."""
     languages = sorted({r[0] for r in rows})
     if not rows:
         return None
@@ -145,24 +179,20 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
             z[columns] += g - sigma * w
             n[columns] += g * g
     weights = current(np.arange(DIMENSIONS))
-    logits = np.array([vector(c, k) @ weights[c] for _, c, k in hold if len(c)]).reshape(-1, len(languages))
-    truth = np.array([code[k] for k, c, _ in hold if len(c)], dtype=int)
-    best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.05, 5, 60):
-        loss = -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-4)).mean() if len(truth) else 0.0
-        if loss < best - 1e-9:
-            best, temperature = loss, float(t)
-    return Model(languages, idf, weights.astype(np.float32), temperature)
+    apart = [(code[k], c, n) for i, (k, *whole) in enumerate(rows) if i % 5 == 0 for c, n in [whole, *(pieces_of or {}).get(i, [])] if len(c)]
+    logits = np.array([vector(c, n) @ weights[c] for _, c, n in apart]).reshape(-1, len(languages))
+    sharpness = calibrated(logits, np.array([k for k, *_ in apart], dtype=int))
+    return Model(languages, idf, weights.astype(np.float32), sharpness)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = batch.column("lang")
+        given = [batch.column(name) for name in ("lang", "parent", "words")]
         for a, b, counts, _ in counts_of(batch.column("text")):
             found = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [langs.slice(a, b - a), pa.array([f.astype(np.uint16).tobytes() for f in found], pa.binary()), pa.array([c[f].astype(np.uint32).tobytes() for c, f in zip(counts, found, strict=True)], pa.binary())],
-                names=["lang", "columns", "counts"],
+                [*[c.slice(a, b - a) for c in given], pa.array([f.astype(np.uint16).tobytes() for f in found], pa.binary()), pa.array([c[f].astype(np.uint32).tobytes() for c, f in zip(counts, found, strict=True)], pa.binary())],
+                names=["lang", "parent", "words", "columns", "counts"],
             )
 
 
@@ -183,10 +213,20 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     keys = near.withColumn("rank", rank).where(F.col("rank") <= each)
     keys = materialise(keys.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "langid-sample")
     same = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")) & (th == F.col("_th"))
-    sample = usable.join(F.broadcast(keys), same).groupBy("_lang", "_id", "_th").agg(F.first("text").alias("text")).select(F.col("_lang").alias("lang"), "text")
-    rows = sample.mapInArrow(_sparse, "lang string, columns binary, counts binary").collect()
-    found = [(r["lang"], np.frombuffer(r["columns"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.float64)) for r in rows]
-    return train(sorted(found, key=lambda r: (hash_of(r[1], r[2]), r[0])))
+    sample = usable.join(F.broadcast(keys), same).groupBy("_lang", "_id", "_th").agg(F.first("text").alias("text")).select(F.col("_lang").alias("lang"), F.concat_ws("|", F.hex("_th"), "_id", "_lang").alias("parent"), "text")
+    words = F.split("text", r"\s+")
+    cut = [F.array_join(F.slice(words, F.pmod(F.xxhash64(F.lit(n), "text"), F.size(words) - n + 1).cast("int") + 1, n), " ") for n in PIECE_WORDS]
+    parts = [F.struct(F.lit(n).alias("words"), F.when(F.size(words) > n, c).alias("text")) for n, c in zip(PIECE_WORDS, cut, strict=True)]
+    pieced = sample.select("lang", "parent", F.explode(F.array(F.struct(F.lit(0).alias("words"), "text"), *parts)).alias("p")).select("lang", "parent", "p.words", "p.text").where("text IS NOT NULL")
+    rows = pieced.mapInArrow(_sparse, "lang string, parent string, words int, columns binary, counts binary").collect()
+    found = [(r["lang"], np.frombuffer(r["columns"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.float64), r["parent"], r["words"]) for r in rows]
+    wholes = sorted((r for r in found if not r[4]), key=lambda r: (hash_of(r[1], r[2]), r[0], r[3]))
+    place = {r[3]: i for i, r in enumerate(wholes)}
+    pieces_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for _, columns, counts, parent, n in sorted(found, key=lambda r: r[4]):
+        if n:
+            pieces_of.setdefault(place[parent], []).append((columns, counts))
+    return train([r[:3] for r in wholes], pieces_of)
 
 
 def hash_of(columns: np.ndarray, counts: np.ndarray) -> int:

@@ -163,7 +163,7 @@ def test_language_id(spark):
                 counts[code & (langid.DIMENSIONS - 1)] += 1
     x = {k: (1 + np.log(v)) * model.idf[k] for k, v in counts.items()}
     norm = np.sqrt(sum(v * v for v in x.values()))
-    logits = sum(v / norm * model.weights[k] for k, v in x.items()) / model.temperature
+    logits = sum(v / norm * model.weights[k] for k, v in x.items()) * model.sharpness
     p = np.exp(logits - logits.max())
     assert abs(by[0].score - (p / p.sum()).max()) < 1e-5
     assert (model.weights == 0).mean() > 0.5  # sparse
@@ -185,7 +185,7 @@ def test_all_of_many_languages_are_learned(spark):
     model = langid.fit(frame, 100)
     assert model.languages == sorted({r[2] for r in rows})
     taught = []
-    langid_train, langid.train = langid.train, lambda rows: taught.extend(rows)
+    langid_train, langid.train = langid.train, lambda rows, _: taught.extend(rows)
     try:
         langid.fit(frame, 3000)
     finally:
@@ -195,7 +195,7 @@ def test_all_of_many_languages_are_learned(spark):
 
 @pytest.mark.parametrize("l1", [langid.L1, 0.6])
 def test_training_matches_plain_ftrl(monkeypatch, l1):
-    """Weights and temperature from one-coordinate-at-a-time FTRL-proximal with an elastic net, and a grid of temperatures."""
+    """Weights and temperatures from one-coordinate-at-a-time FTRL-proximal with an elastic net, and a search about the fitted line."""
     monkeypatch.setattr(langid, "L1", l1)
     rng = random.Random(8)
     rows = []
@@ -223,8 +223,8 @@ def test_training_matches_plain_ftrl(monkeypatch, l1):
             return 0.0
         return -(z[c, k] - np.sign(z[c, k]) * langid.L1) / ((langid.BETA + np.sqrt(n[c, k])) / langid.ALPHA + langid.L2)
 
-    def shares(x, t=1.0):
-        e = [np.exp(sum(v * weight(c, k) for c, v in x.items()) / t) for k in range(3)]
+    def shares(x, sharp=1.0):
+        e = [np.exp(sum(v * weight(c, k) for c, v in x.items()) * sharp) for k in range(3)]
         return [v / sum(e) for v in e]
 
     order = np.random.default_rng(0)
@@ -242,8 +242,39 @@ def test_training_matches_plain_ftrl(monkeypatch, l1):
             if c < 50 or model.weights[c, k]:
                 assert abs(model.weights[c, k] - weight(c, k)) < 1e-5
     assert any(z[c, k] and not weight(c, k) for c in range(50) for k in range(3)) == (l1 > 0.5)  # the L1 penalty makes zeros
-    loss = {t: np.mean([-np.log(max(shares(vector(r), t)[int(r[0][1])], 1e-4)) for r in hold]) for t in np.geomspace(0.05, 5, 60).tolist()}
-    assert abs(model.temperature - min(loss, key=loss.get)) < 1e-9
+
+    def loss(sharp):
+        told = [(shares(vector(r), sharp), int(r[0][1])) for r in hold]
+        n = len(hold) + 2
+        return -sum(np.log(x) * ((n - 1) / n if i == k else 1 / n / 2) for t, k in told for i, x in enumerate(t))
+
+    assert all(loss(model.sharpness) <= loss(model.sharpness + step) + 1e-9 for step in (-1, -0.1, -1e-3, 1e-3, 0.1, 1))
+
+
+def test_short_texts_are_told_less_surely(spark):
+    """The error of calibration on held-out texts of one to eight words, some of which occur in two languages."""
+    rng = random.Random(4)
+    words = {"aa": ["the", "quick", "of", "and", "was", "to", "in", "an"], "bb": ["der", "und", "schön", "für", "nicht", "in", "an", "was"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.choice((1, 2, 4, 8, 40)))), k) for i in range(1200) for k in [rng.choice("ab") * 2]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame.where("doc_id < 600"))
+    found = langid.predict(frame.where("doc_id >= 600"), model).collect()
+    bins = defaultdict(list)
+    for r in found:
+        bins[min(int(r.score * 10), 9)].append((r.score, r.lang_pred == r.lang))
+    assert sum(abs(sum(s - hit for s, hit in b)) for b in bins.values()) / len(found) < 0.06
+    by = {r.text: r.score for r in found}
+    assert by["in"] < 0.75 < 0.95 < min(r.score for r in found if len(r.text.split()) == 40)
+
+
+def test_calibration_without_examples_and_with_faultless_ones():
+    assert langid.calibrated(np.zeros((0, 3)), np.zeros(0, dtype=int)) == 1.0
+    assert langid.calibrated(np.zeros((4, 1)), np.zeros(4, dtype=int)) == 1.0
+    assert langid.calibrated(np.zeros((4, 2)), np.zeros(4, dtype=int)) == 1.0
+    faultless = np.array([[0.2, 0.0], [0.0, 0.2]] * 2)
+    assert abs(1 / (1 + np.exp(-0.2 * langid.calibrated(faultless, np.array([0, 1, 0, 1])))) - 5 / 6) < 1e-6
+    assert langid.calibrated(faultless * 1e-3, np.array([0, 1, 0, 1])) > 1000
+    assert langid.calibrated(faultless, np.array([1, 0, 1, 0])) == langid.LEAST_SHARPNESS
 
 
 def test_language_stage_without_languages(spark):
