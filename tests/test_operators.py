@@ -444,6 +444,7 @@ def test_matrix_and_vector_tables(spark):
     with pytest.raises(IndexError):
         fem.vector_at(v, -1)
     fem.check_cell("Tetrahedron")
+    fem.check_cell("tetrahedron", 2)
     with pytest.raises(NotImplementedError):
         fem.check_cell("wedge")
     with pytest.raises(ValueError):
