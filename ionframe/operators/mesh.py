@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.functions import vectors as V
+from ionframe.operators import pairs
 from ionframe.storage import materialise
 
 
@@ -45,11 +46,57 @@ def edges(triangles: DataFrame) -> DataFrame:
     return triangles.select("tri_id", F.explode(F.array(pair("n0", "n1"), pair("n1", "n2"), pair("n0", "n2"))).alias("e")).select("tri_id", "e.p", "e.q").distinct()
 
 
-def adjacency(triangles: DataFrame) -> DataFrame:
-    """(tri_id, neighbour): triangles that share an edge."""
-    e = edges(triangles)
+def classes(triangles: DataFrame) -> DataFrame:
+    """(tri_id, cls): triangles with the same edges are one class, named by its smallest tri_id; one without edges is alone."""
+    pair = lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+    each = triangles.where("tri_id IS NOT NULL").select("tri_id", F.explode(F.array(pair("n0", "n1"), pair("n1", "n2"), pair("n0", "n2"))).alias("e"))
+    sides = each.groupBy("tri_id").agg(F.array_sort(F.collect_set(F.when(F.col("e.p").isNotNull(), F.col("e")))).alias("sides"))
+    named = sides.withColumn("own", F.when(F.size("sides") == 0, F.col("tri_id")))
+    least = named.groupBy("sides", F.coalesce("own", F.lit(-1)).alias("own")).agg(F.min("tri_id").alias("cls"))
+    return materialise(named.withColumn("own", F.coalesce("own", F.lit(-1))).join(least, ["sides", "own"]).select("tri_id", "cls", "sides"), "classes")
+
+
+def class_links(members: DataFrame) -> DataFrame:
+    """(tri_id, neighbour): classes that share an edge, by their names; a class shares its own with itself."""
+    e = members.where("tri_id = cls").select("tri_id", F.explode("sides").alias("e")).select("tri_id", "e.p", "e.q")
     other = e.select(F.col("tri_id").alias("neighbour"), "p", "q")
-    return e.join(other, ["p", "q"]).where("tri_id <> neighbour").select("tri_id", "neighbour").distinct()
+    return e.join(other, ["p", "q"]).select("tri_id", "neighbour").distinct()
+
+
+def expanded(links: DataFrame, members: DataFrame, *kept: str) -> DataFrame:
+    """(kept.., source, target): the triangles of both ends of (cls, other, kept..), a pair of classes once."""
+    left = pairs.chunks(members.select("cls", "tri_id"), ["cls"], "source")
+    right = pairs.chunks(members.select(F.col("cls").alias("other"), "tri_id"), ["other"], "target")
+    met = pairs.dealt(links.join(left, "cls").join(right, "other"), "source", "target", *kept)
+    return met.select(*kept, F.col("source.tri_id").alias("source"), F.col("target.tri_id").alias("target"))
+
+
+def adjacency(triangles: DataFrame) -> DataFrame:
+    """(tri_id, neighbour): triangles that share an edge.
+
+    Found between classes of triangles with the same edges, so that the pairs of triangles are made once, by the task that
+    returns them, and none is shuffled.
+    """
+    members = classes(triangles)
+    links = class_links(members).select(F.col("tri_id").alias("cls"), F.col("neighbour").alias("other"))
+    return expanded(links, members).where("source <> target").select(F.col("source").alias("tri_id"), F.col("target").alias("neighbour"))
+
+
+def class_levels(members: DataFrame, levels: int = 4) -> DataFrame:
+    """(cls, other, level): what each class reaches over shared edges, itself at level 0."""
+    found = neighbour_levels(members.select(F.col("cls").alias("tri_id")).distinct(), materialise(class_links(members), "class-links"), levels)
+    return found.select(F.col("source").alias("cls"), F.col("tri_id").alias("other"), "level")
+
+
+def triangle_levels(triangles: DataFrame, levels: int = 4) -> DataFrame:
+    """(source, tri_id, level): ``neighbour_levels`` of all triangles over ``adjacency``, found between classes."""
+    members = classes(triangles)
+    unnamed = triangles.where("tri_id IS NULL").select(F.col("tri_id").alias("source"), "tri_id", F.lit(0).alias("level")).distinct()
+    if levels < 1:
+        return members.select(F.col("tri_id").alias("source"), "tri_id", F.lit(0).alias("level")).unionByName(unnamed)
+    found = expanded(class_levels(members, levels), members, "level")  # level 0 is between members of one class, which are a step apart
+    level = F.when((F.col("level") == 0) & (F.col("source") != F.col("target")), 1).otherwise(F.col("level"))
+    return found.select("source", F.col("target").alias("tri_id"), level.alias("level")).unionByName(unnamed)
 
 
 def neighbour_levels(sources: DataFrame, links: DataFrame, levels: int = 4) -> DataFrame:
