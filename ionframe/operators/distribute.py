@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ionframe.functions import vectors as V
 from ionframe.functions.rng import draw, normal
+from ionframe.operators import pairs
 from ionframe.operators.mesh import with_shape
+from ionframe.storage import materialise
 
 
 def shares(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFrame:
@@ -26,6 +28,30 @@ def shares(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFr
     return weighed.join(total, "source").select("source", "target", num.alias("num"))
 
 
+def class_shares(cells: DataFrame, members: DataFrame, reach: DataFrame, weight_exponent: int) -> DataFrame:
+    """``shares`` of what classes (cls, other, ..) of cells (tri_id, cls) reach; pairs of cells are made, summed and made again.
+
+    All cells of a class reach the same cells, so a mean area comes from sums over classes. What is shuffled is a row for
+    each source and chunk of targets, and no pairs.
+    """
+    at = [F.col("centroid")[a].alias(a) for a in "xyz"]
+    shape = materialise(with_shape(cells).join(members.select("tri_id", "cls"), "tri_id").select("cls", "tri_id", "cnt", "area", *at), "shapes")
+    areas = shape.groupBy(F.col("cls").alias("other")).agg(F.sum("area").alias("a"), F.count("area").alias("m"))
+    mean = reach.join(areas, "other").groupBy("cls").agg(F.greatest(F.lit(0.5), 2 * F.sqrt(F.sum("a") / F.sum("m"))).alias("sigma"))
+    links = reach.select("cls", "other").join(mean, "cls")
+    targets = pairs.chunks(shape.select(F.col("cls").alias("other"), "tri_id", "area", "x", "y", "z"), ["other"], "t")
+
+    def weighed(sources: DataFrame) -> DataFrame:
+        met = pairs.dealt(links.join(pairs.chunks(sources, ["cls"], "s"), "cls").join(targets, "other"), "s", "t", "sigma")
+        d2 = sum(((F.col(f"s.{a}") - F.col(f"t.{a}")) * (F.col(f"s.{a}") - F.col(f"t.{a}")) for a in "xyz"), F.lit(0.0))
+        return met.withColumn("w", F.col("t.area") * F.exp(-d2 / (2 * F.col("sigma") * F.col("sigma"))))
+
+    sources = shape.where("cnt > 0").select("cls", "tri_id", F.col("cnt").alias("n"), "x", "y", "z")
+    total = materialise(weighed(sources.drop("n")).groupBy(F.col("s.tri_id").alias("tri_id")).agg(F.sum("w").alias("all_w")), "weights")
+    num = F.greatest(F.lit(1), F.round(F.col("s.n") * float(10**weight_exponent) * F.col("w") / F.col("s.all_w"))).cast("long")
+    return weighed(sources.join(total, "tri_id")).select(F.col("s.tri_id").alias("source"), F.col("t.tri_id").alias("target"), num.alias("num"))
+
+
 def distributed(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFrame:
     """(tri_id, cnt): counts of the cells after spreading, scaled to the expected total and truncated; other cells keep theirs."""
     given = shares(cells, reached, weight_exponent).groupBy(F.col("target").alias("tri_id")).agg(F.sum("num").alias("got"))

@@ -477,3 +477,29 @@ def test_settled_and_track_sinks(spark, tmp_path):
         assert not text.write_settled(rows.limit(0), f"{tmp_path}/v")
     text.write_density(spark.createDataFrame([(1.0, 2.0, 3.0), (0.0, 1.0, 0.0)], "x double, y double, cnt double"), f"{tmp_path}/d")
     assert [tuple(r) for r in text.read_numbers(spark, f"{tmp_path}/d", ["x", "y", "c"]).collect()] == [(1.0, 2.0, 3.0)]
+
+
+def test_levels_and_shares_of_classes_are_those_of_pairs(spark):
+    """Copies of a triangle are one class: shuffled are classes, and the rows those of all pairs, in chunks of any size."""
+    from ionframe.operators import pairs
+
+    fields = "tri_id long, v0 struct<x:double,y:double,z:double>, v1 struct<x:double,y:double,z:double>, v2 struct<x:double,y:double,z:double>, n0 long, n1 long, n2 long, cnt long"
+    rng = np.random.default_rng(3)
+    nodes = [(1, 2, 3)] * 9 + [(3, 2, 1)] * 2 + [(2, 3, 4), (4, 5, 6), (7, 8, 9), (7, 7, 7), (None, None, None), (None, None, None), (None, 9, 8)]
+    rows = [(i - 1, *[tuple(map(float, rng.normal(size=3))) for _ in range(3)], *n, i % 4) for i, n in enumerate(nodes)]
+    cells = spark.createDataFrame(rows, fields)
+    e = mesh.edges(cells)
+    links = e.join(e.withColumnRenamed("tri_id", "neighbour"), ["p", "q"]).where("tri_id <> neighbour").select("tri_id", "neighbour").distinct()
+    as_rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert as_rows(mesh.adjacency(cells)) == as_rows(links)
+    for levels in (0, 1, 3):
+        want = mesh.neighbour_levels(cells.select("tri_id"), links, levels)
+        assert as_rows(mesh.triangle_levels(cells, levels)) == as_rows(want)
+        members = mesh.classes(cells)
+        if levels:
+            assert as_rows(distribute.class_shares(cells, members, mesh.class_levels(members, levels), 2)) == as_rows(distribute.shares(cells, want, 2))
+    members = mesh.classes(cells)
+    assert mesh.class_links(members).count() < 20 < links.count()
+    keyed = cells.select((F.col("tri_id") % 3).alias("k"), "tri_id")
+    met = pairs.met(keyed, keyed.select("k", F.col("tri_id").alias("other")), ["k"], 2).select("_l.tri_id", "_r.other")
+    assert as_rows(met) == as_rows(keyed.join(keyed.select("k", F.col("tri_id").alias("other")), "k").select("tri_id", "other"))
