@@ -503,3 +503,22 @@ def test_levels_and_shares_of_classes_are_those_of_pairs(spark):
     keyed = cells.select((F.col("tri_id") % 3).alias("k"), "tri_id")
     met = pairs.met(keyed, keyed.select("k", F.col("tri_id").alias("other")), ["k"], 2).select("_l.tri_id", "_r.other")
     assert as_rows(met) == as_rows(keyed.join(keyed.select("k", F.col("tri_id").alias("other")), "k").select("tri_id", "other"))
+
+
+def test_hits_in_a_crowded_cell_come_from_pairs_of_chunks(spark, monkeypatch):
+    """One cell that holds all: its pairs are dealt over many tasks, ties within a chunk and between chunks go to the smallest tri_id."""
+    from ionframe.operators import pairs
+
+    monkeypatch.setattr(pairs.chunks, "__defaults__", (7,))
+    monkeypatch.setattr(pairs.chunk_pairs, "__defaults__", (7,))
+    rng = np.random.default_rng(8)
+    place = lambda: tuple(map(float, rng.uniform(0, 4, 3)))
+    segments = points(spark, [(i, place(), place()) for i in range(60)], ["id", "p0", "p1"])
+    corners = [(place(), place(), place()) for _ in range(20)]
+    triangles = points(spark, [(i, *corners[i % 20]) for i in range(60)], ["tri_id", "v0", "v1", "v2"])
+    hits = [(r.id, r.share, r.tri_id) for r in spatial.segment_hits(segments, triangles, 4.0).collect()]
+    assert len(hits) == len(set(hits)) and {(i, t % 20 + 20 * k) for i, _, t in hits for k in range(3)} == {(i, t) for i, _, t in hits}
+    nearest = {i: min((s, t) for j, s, t in hits if j == i) for i, _, _ in hits}
+    assert {r.id: (r.share, r.tri_id) for r in spatial.first_hits(segments, triangles, 4.0).collect()} == nearest
+    crowd = pairs.chunk_pairs(spatial.legs(segments, 4.0), spatial.triangle_cells(triangles, 4.0), spatial.CELL).select(F.size("_l").alias("a"), F.size("_r").alias("b"), F.spark_partition_id().alias("p")).collect()
+    assert max(r.a for r in crowd) < 30 and max(r.b for r in crowd) < 30 and len({r.p for r in crowd}) > 8
