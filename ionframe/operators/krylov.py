@@ -1,8 +1,8 @@
 """Krylov solvers over coordinate matrices (row, col, value) and vectors (idx, value) or blocks (idx, rhs, value).
 
 A matrix is written once, bucketed by column (and by row where its transpose is needed), so that a product shuffles the
-vector and the partial sums of the result but not the matrix. A solver's vectors are the columns of one table with a row
-for each index; an iteration writes that table once, which cuts the lineage, and deletes the one before. Only sums reach the
+partial sums of the result but not the matrix. A solver's vectors are the columns of one table with a row for each index,
+bucketed in the same way; an iteration writes that table once, which cuts the lineage, and deletes the one before. Only sums reach the
 driver: dot products, Gram matrices of a block, the small Hessenberg matrix.
 
 * ``conjugate_gradient``: symmetric positive systems, one product, one table and one job for sums an iteration
@@ -47,16 +47,18 @@ class Matrix:
     def __init__(self, entries: DataFrame, transpose: bool = False):
         self.spark = spark = entries.sparkSession
         self.tables: dict[str, tuple[str, str]] = {}
-        own = entries.groupBy(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.sum("value").cast("double").alias("value"))
-        self._write(own, "col")
+        # dealt by bucket first: the sums of a place and the write find their rows where they are
+        own = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value").repartition(partitions(spark), "col")
+        self._write(own.groupBy("row", "col").agg(F.sum("value").cast("double").alias("value")), "col", dealt=True)
         if transpose:
             self._write(spark.table(self.tables["col"][0]), "row")
 
-    def _write(self, entries: DataFrame, side: str) -> None:
+    def _write(self, entries: DataFrame, side: str, dealt: bool = False) -> None:
         name, path, n = f"matrix_{uuid.uuid4().hex}", new_path(self.spark, "matrix"), partitions(self.spark)
         self.spark.sql(f"CREATE TABLE {name} (row BIGINT, col BIGINT, value DOUBLE) USING parquet CLUSTERED BY ({side}) INTO {n} BUCKETS LOCATION '{path}'")
         self.tables[side] = (name, path)
-        entries.select("row", "col", "value").repartition(n, side).write.insertInto(name)
+        rows = entries.select("row", "col", "value")
+        (rows if dealt else rows.repartition(n, side)).write.insertInto(name)
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.tables["col"][0])
@@ -85,6 +87,27 @@ class Matrix:
             remove(self.spark, path)
 
 
+class Vectors(Scratch):
+    """Tables of vectors, bucketed by index as the matrix is: a product shuffles its partial sums only, a join with it nothing else."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.names: dict[str, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        made, path = f"vectors_{uuid.uuid4().hex}", new_path(self.spark, name)
+        df.write.bucketBy(partitions(self.spark), "idx").option("path", path).saveAsTable(made, format="parquet")
+        self.drop(name)
+        self.paths[name], self.names[name] = path, made
+        return self.spark.table(made)
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            if n in self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(n)}")
+        super().drop(*names)
+
+
 def _joined(state: DataFrame, more: DataFrame, *names: str) -> DataFrame:
     """``state`` with the columns ``names`` of ``more``, 0 where it has no row."""
     return state.join(more, "idx", "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
@@ -152,7 +175,7 @@ def conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: float = TO
     The form of Chronopoulos and Gear: an iteration is one product, one table (idx, x, r, p, s, d, w) and one job for its
     three sums.
     """
-    scratch = Scratch(entries.sparkSession)
+    scratch = Vectors(entries.sparkSession)
     zero, r, d, w = F.lit(0.0), F.col("r"), F.col("d"), F.col("w")
     with Matrix(entries) as matrix:
 
@@ -188,7 +211,7 @@ def block_conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: floa
     Right sides that depend on each other, or are solved before the others, make Gram matrices singular; these are
     inverted on the directions that they have.
     """
-    scratch, sides = Scratch(entries.sparkSession), _sides(rhs)
+    scratch, sides = Vectors(entries.sparkSession), _sides(rhs)
     k = len(sides)
     if not k:
         return rhs.select(F.col("idx").cast("long").alias("idx"), "rhs", F.col("value").cast("double").alias("value"))
@@ -234,7 +257,7 @@ def block_gmres(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE
     A cycle builds a basis of at most ``basis`` blocks, then adds the combination of least residual and starts again from
     the true residual.
     """
-    scratch, sides = Scratch(entries.sparkSession), _sides(rhs)
+    scratch, sides = Vectors(entries.sparkSession), _sides(rhs)
     k = len(sides)
     if not k:
         return rhs.select(F.col("idx").cast("long").alias("idx"), "rhs", F.col("value").cast("double").alias("value"))
@@ -295,7 +318,7 @@ def gmres(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE, max_
 
 def minres(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE, max_iterations: int = ITERATIONS) -> DataFrame:
     """(idx, value) of the solution of a symmetric system, which may be indefinite."""
-    scratch = Scratch(entries.sparkSession)
+    scratch = Vectors(entries.sparkSession)
     u, v, p, x, c1, c2 = (F.col(n) for n in ("u", "v", "p", "x", "c1", "c2"))
     with Matrix(entries) as matrix:
         state = scratch.table(_unknowns(matrix, _vector(rhs), [0]), "right-side")
@@ -344,7 +367,7 @@ def lsqr(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE, max_i
 
     It stops when the residual, or what the transpose leaves of it, is below the tolerance.
     """
-    scratch = Scratch(entries.sparkSession)
+    scratch = Vectors(entries.sparkSession)
     u, v, w, x, p = (F.col(n) for n in "uvwxp")
     with Matrix(entries, transpose=True) as matrix:
         b = rhs.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.sum("value").cast("double").alias("u"))

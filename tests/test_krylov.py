@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionframe.operators import fem, krylov
 
@@ -135,3 +136,21 @@ def test_solve_by_name_and_settings(spark):
     with pytest.raises(ValueError):
         fem.solver_options("CG", {"flexibleGMRES": True, "orthogonalization": "TSQR"})
     assert fem.solver_options("Block GMRES", {"maxIterations": 9, "convergenceTolerance": 1e-3, "numBlocks": 7, "maxRestarts": 2}) == {"max_iterations": 9, "tolerance": 1e-3, "basis": 7, "max_restarts": 2}
+
+
+def test_vectors_are_not_shuffled(spark):
+    """A table of vectors lies in the matrix's buckets: a product and its join with the vectors have one exchange, of partial sums."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    scratch = krylov.Vectors(spark)
+    try:
+        with krylov.Matrix(frame(spark, np.eye(9) + np.eye(9, k=1))) as matrix:
+            state = scratch.table(spark.range(9).select(F.col("id").alias("idx"), F.lit(2.0).alias("x")), "vectors")
+            met = krylov._joined(state, matrix.times(state, {"w": F.col("x")}), "w")
+            plan = met._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1
+            assert {r.idx: r.w for r in met.collect()} == {i: 2.0 if i == 8 else 4.0 for i in range(9)}
+            scratch.drop_all_but()
+            assert not scratch.names and not scratch.paths
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
