@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ionframe.storage import Scratch, new_path, partitions, remove
 
 TOLERANCE, ITERATIONS, BASIS = 1e-9, 500, 20
+#: Entries of a matrix beyond which ``Sized`` buckets it.
+BUCKETED = 2_000_000
 #: Below this share of the largest, an eigenvalue of a Gram matrix is a direction that the block does not have.
 RANK = 1e-24
 
@@ -60,15 +62,22 @@ class Matrix:
         rows = entries.select("row", "col", "value")
         (rows if dealt else rows.repartition(n, side)).write.insertInto(name)
 
+    def side(self, name: str) -> DataFrame:
+        return self.spark.table(self.tables[name][0])
+
     def entries(self) -> DataFrame:
-        return self.spark.table(self.tables["col"][0])
+        return self.side("col")
 
     def times(self, state: DataFrame, vectors: dict[str, Column], transposed: bool = False) -> DataFrame:
         """(idx, one column for each of ``vectors``): the products with expressions over ``state``."""
+        return self.parts(state, vectors, transposed).groupBy("idx").agg(*[F.sum(n).alias(n) for n in vectors])
+
+    def parts(self, state: DataFrame, vectors: dict[str, Column], transposed: bool = False) -> DataFrame:
+        """The products that ``times`` sums by idx, a row for each entry of the matrix."""
         inner, outer = ("row", "col") if transposed else ("col", "row")
         given = state.select(F.col("idx").alias(inner), *[c.alias(n) for n, c in vectors.items()])
-        met = self.spark.table(self.tables[inner][0]).join(given, inner)
-        return met.groupBy(F.col(outer).alias("idx")).agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in vectors])
+        met = self.side(inner).join(given, inner)
+        return met.select(F.col(outer).alias("idx"), *[(F.col("value") * F.col(n)).alias(n) for n in vectors])
 
     def diagonal(self) -> DataFrame:
         """(idx, d) of the entries that are not 0."""
@@ -87,6 +96,25 @@ class Matrix:
             remove(self.spark, path)
 
 
+class Sized(Matrix):
+    """A matrix that stays one plain table while it has at most ``BUCKETED`` entries: a file for each bucket costs more than their shuffle."""
+
+    def __init__(self, entries: DataFrame, transpose: bool = False):
+        self.tables, self.scratch = {}, Scratch(entries.sparkSession)
+        own = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+        self.spark, self.plain = own.sparkSession, self.scratch.table(own.groupBy("row", "col").agg(F.sum("value").cast("double").alias("value")), "matrix")
+        if self.plain.count() > BUCKETED:
+            super().__init__(self.plain, transpose)
+            self.plain = self.scratch.drop_all_but()
+
+    def side(self, name: str) -> DataFrame:
+        return super().side(name) if self.plain is None else self.plain
+
+    def __exit__(self, *_) -> None:
+        super().__exit__()
+        self.scratch.drop_all_but()
+
+
 class Vectors(Scratch):
     """Tables of vectors, bucketed by index as the matrix is: a product shuffles its partial sums only, a join with it nothing else."""
 

@@ -4,8 +4,11 @@
 * Aggregates: roots are an independent set at distance two, found in rounds in which the undecided node with the greatest
   hash within two links becomes a root; every other node joins a root next to it, or else an aggregate next to it.
 * Prolongation: one column for each aggregate, smoothed by one damped Jacobi step. The coarse matrix is the Galerkin product
-  P'AP by joins. Coarsening ends at ``COARSE`` unknowns, which the driver solves densely.
-* A V-cycle smooths by damped Jacobi before and after, so it is symmetric.
+  P'AP by joins. Coarsening ends at ``COARSE`` unknowns, which the driver inverts densely, or at a matrix so dominated by its
+  diagonal (``DOMINANT``) that two Jacobi steps leave less than a third of any error.
+* A V-cycle smooths by damped Jacobi before and after, so it is symmetric. With W = wD^-1 it takes r to Mr + S z, where
+  M = 2W - WAW, S = (I - WA)P and z is the coarse cycle of S'r. M and S are tables, so a cycle is three products for two levels and
+  two more for each level beyond; with the matrix's product it is one job's work.
 
 The damping comes from the largest row sum of |a_ij| / a_ii, one number for each level.
 """
@@ -16,49 +19,48 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.operators.krylov import ITERATIONS, TOLERANCE, Matrix, NotConverged, _joined, _unknowns, _sums, _vector
+from ionframe.operators.krylov import ITERATIONS, TOLERANCE, Matrix, NotConverged, Sized, _joined, _unknowns, _sums, _vector
 from ionframe.storage import Scratch
 
 THETA, COARSE, LEVELS = 0.08, 600, 20
-
-
-def strong_links(matrix: Matrix, theta: float) -> DataFrame:
-    """(a, b) of different unknowns, both ways."""
-    d = matrix.diagonal()
-    off = matrix.entries().where("row <> col")
-    off = off.join(d.withColumnsRenamed({"idx": "row", "d": "d1"}), "row").join(d.withColumnsRenamed({"idx": "col", "d": "d2"}), "col")
-    return off.where(F.abs("value") >= theta * F.sqrt(F.abs(F.col("d1") * F.col("d2")))).select(F.explode(F.array(F.struct(F.col("row").alias("a"), F.col("col").alias("b")), F.struct(F.col("col").alias("a"), F.col("row").alias("b")))).alias("l")).select("l.*").distinct()
+#: Largest row sum of |a_ij| / a_ii of a matrix that needs no coarser one.
+DOMINANT = 1.5
 
 
 def aggregates(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(idx, root): the aggregate of each node (idx), named by its root."""
-    links = scratch.table(links, "strong-links")
-
-    def around(rows: DataFrame, value: str, how) -> DataFrame:
-        """(idx, value) over the neighbours of each node."""
-        return links.join(rows.select(F.col("idx").alias("b"), value), "b").groupBy(F.col("a").alias("idx")).agg(how(value).alias(f"_{value}"))
-
-    key = F.struct(F.xxhash64("idx").alias("h"), "idx")
-    state = scratch.table(nodes.select("idx", key.alias("key"), F.lit(False).alias("root"), F.lit(False).alias("near")), "independent-set")
-    while not state.where("NOT root AND NOT near").isEmpty():
-        open_key = F.when(~F.col("root") & ~F.col("near"), F.col("key"))
-        one = state.withColumn("best", open_key).join(around(state.withColumn("best", open_key).where("best IS NOT NULL"), "best", F.max), "idx", "left")
-        one = scratch.table(one.select("idx", "key", "root", "near", F.greatest("best", "_best").alias("best")), "within-one")
-        two = one.join(around(one.where("best IS NOT NULL"), "best", F.max), "idx", "left")
-        picked = scratch.table(two.select("idx", "key", "root", "near", (~F.col("root") & ~F.col("near") & (F.greatest("best", "_best") == F.col("key"))).alias("new")), "picked")
-        reach = picked.join(around(picked, "new", F.bool_or), "idx", "left").withColumn("reach", F.col("new") | F.coalesce("_new", F.lit(False)))
-        reach = scratch.table(reach.drop("_new"), "reached")
-        far = reach.join(around(reach, "reach", F.bool_or), "idx", "left")
-        near = F.col("near") | (~F.col("root") & ~F.col("new") & (F.col("reach") | F.coalesce("_reach", F.lit(False))))
-        state = scratch.table(far.select("idx", "key", (F.col("root") | F.col("new")).alias("root"), near.alias("near")), "independent-set")
-    own = state.select("idx", F.when(F.col("root"), F.col("idx")).alias("group"))
-    for name in ("beside-roots", "aggregates"):  # next to a root, then next to those
-        taken = own.join(around(own.where("group IS NOT NULL"), "group", F.min), "idx", "left")
-        own = scratch.table(taken.select("idx", F.coalesce("group", "_group").alias("group")), name)
-    return own.select("idx", F.col("group").alias("root"))
+    """(idx, root): the aggregate of each node (idx), named by its root.
+
+    Every node is linked with itself too, so a step over the links brings along what a node has of its own, and a round's four
+    steps are one plan. The hash takes different numbers to different numbers, so there are no ties.
+    """
+    loops = nodes.select(F.col("idx").alias("a"), F.col("idx").alias("b"))
+    with Sized(links.select("a", "b").unionByName(loops).select(F.col("a").alias("row"), F.col("b").alias("col"), F.lit(1.0).alias("value"))) as near:
+        own = F.col("row") == F.col("col")
+
+        def around(rows: DataFrame, *kept: str, **found) -> DataFrame:
+            """(idx, kept.., found..): a node's own flags, and aggregates over it and the nodes beside it."""
+            met = near.entries().select("row", "col").join(rows.withColumnRenamed("idx", "col"), "col")
+            return met.groupBy(F.col("row").alias("idx")).agg(*[F.bool_or(own & F.col(k)).alias(k) for k in kept], *[c.alias(n) for n, c in found.items()])
+
+        state = nodes.select("idx", F.lit(False).alias("root"), F.lit(False).alias("near"))
+        left = True
+        while left:
+            undecided = ~F.col("root") & ~F.col("near")
+            best = around(state.withColumn("best", F.when(undecided, F.xxhash64("idx"))), "root", "near", best=F.max("best"))
+            best = around(best, "root", "near", best=F.max("best"))
+            root = F.col("root") | (undecided & F.coalesce(F.col("best") == F.xxhash64("idx"), F.lit(False)))
+            reach = around(best.select("idx", root.alias("root"), root.alias("reach")), "root", reach=F.bool_or("reach"))
+            reach = around(reach, "root", reach=F.bool_or("reach"))
+            state = scratch.table(reach.select("idx", "root", (F.col("reach") & ~F.col("root")).alias("near")), "independent-set")
+            left = not state.where("NOT root AND NOT near").isEmpty()
+        group = state.select("idx", F.when(F.col("root"), F.col("idx")).alias("group"))
+        for _ in range(2):  # next to a root, then next to those
+            group = around(group, group=F.coalesce(F.max(F.when(own, F.col("group"))), F.min("group")))
+        return scratch.table(group.select("idx", F.col("group").alias("root")), "aggregates")
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -73,10 +75,20 @@ def transposed(a: DataFrame) -> DataFrame:
 
 @dataclass
 class Level:
-    matrix: Matrix
-    diagonal: DataFrame
-    omega: float
-    prolongation: Matrix | None  # None at the last level
+    unknowns: int
+    smoother: Matrix  # M, at the last level of at most ``coarse`` unknowns the inverse
+    transfer: Matrix | None  # S; None at the last level
+
+
+def _inverse(matrix: Matrix) -> DataFrame:
+    """(row, col, value) of the pseudo-inverse of a small symmetric matrix, made by the driver."""
+    rows = matrix.entries().toArrow()
+    order = np.unique(np.concatenate([rows["row"].to_numpy(), rows["col"].to_numpy()]))
+    dense = np.zeros((len(order), len(order)))
+    dense[np.searchsorted(order, rows["row"].to_numpy()), np.searchsorted(order, rows["col"].to_numpy())] = rows["value"].to_numpy()
+    back = np.linalg.pinv(dense, rcond=1e-12)
+    i, j = np.nonzero(back)
+    return matrix.spark.createDataFrame(pa.table({"row": order[i], "col": order[j], "value": back[i, j]}))
 
 
 class Hierarchy:
@@ -84,58 +96,63 @@ class Hierarchy:
 
     def __init__(self, matrix: Matrix, theta: float = THETA, coarse: int = COARSE):
         self.scratch, self.levels, self.held = Scratch(matrix.spark), [], []
+        on = F.col("row") == F.col("col")
         while True:
-            diagonal = self.scratch.table(matrix.diagonal(), f"diagonal-{len(self.levels)}")
-            n, bound = matrix.entries().join(diagonal, F.col("row") == F.col("idx")).groupBy("idx").agg((F.sum(F.abs("value")) / F.first(F.abs("d"))).alias("s")).agg(F.count(F.lit(1)), F.max("s")).first()
-            omega = 4 / (3 * max(bound or 1.0, 1.0))
-            if n <= coarse or len(self.levels) >= LEVELS:
+            sums = matrix.entries().groupBy("row").agg(F.sum(F.abs("value")).alias("s"), F.max(F.when(on & (F.col("value") != 0), F.abs("value"))).alias("d"))
+            n, whole, bound = sums.agg(F.count(F.lit(1)), F.count("d"), F.max(F.col("s") / F.col("d"))).first()
+            if n <= coarse:
+                self.levels.append(Level(n, self._keep(Sized(_inverse(matrix))), None))
                 break
+            omega = 4 / (3 * max(bound or 1.0, 1.0))
             own = Scratch(matrix.spark)
-            groups = aggregates(matrix.indexes(), strong_links(matrix, theta), own)
-            flat = own.table(groups.select(F.col("idx").alias("row"), F.col("root").alias("col"), F.lit(1.0).alias("value")), "tentative")
-            step = product(matrix.entries(), flat).join(diagonal, F.col("row") == F.col("idx")).select("row", "col", (F.col("value") / F.col("d") * -omega).alias("value"))
-            prolongation = Matrix(flat.unionByName(step), transpose=True)
-            coarser = Matrix(product(transposed(prolongation.entries()), product(matrix.entries(), prolongation.entries())))
+            d = own.table(matrix.diagonal(), "diagonal")
+            scaled = matrix.entries().join(d.withColumnsRenamed({"idx": "row", "d": "d1"}), "row").join(d.withColumnsRenamed({"idx": "col", "d": "d2"}), "col")
+            scaled = own.table(scaled, "scaled")
+            smoother = self._keep(Sized(scaled.select("row", "col", (F.when(on, 2 * omega / F.col("d1")).otherwise(0.0) - F.col("value") / F.col("d1") / F.col("d2") * omega**2).alias("value"))))
+            transfer = None
+            if len(self.levels) < LEVELS and not (whole == n and bound <= DOMINANT):
+                transfer, coarser, smaller = self._coarser(scaled, omega, theta, own)
             own.drop_all_but()
-            self.held += [prolongation, coarser]
-            smaller = coarser.indexes(("row",)).count()
-            if smaller >= n:  # nothing is strong enough to be joined
+            if transfer is None or smaller >= n:  # nothing is strong enough to be joined
+                self.levels.append(Level(n, smoother, None))
                 break
-            self.levels.append(Level(matrix, diagonal, omega, prolongation))
+            self.levels.append(Level(n, smoother, transfer))
             matrix = coarser
-        self.levels.append(Level(matrix, diagonal, omega, None))
-        self.dense = None
-        if n <= coarse:
-            rows = matrix.entries().collect()  # at most coarse squared
-            self.order = {i: k for k, i in enumerate(sorted({r["row"] for r in rows} | {r["col"] for r in rows}))}
-            self.dense = np.zeros((len(self.order), len(self.order)))
-            for r in rows:
-                self.dense[self.order[r["row"]], self.order[r["col"]]] = r["value"]
+
+    def _keep(self, matrix: Matrix) -> Matrix:
+        self.held.append(matrix)
+        return matrix
+
+    def _coarser(self, scaled: DataFrame, omega: float, theta: float, own: Scratch) -> tuple[Matrix, Matrix, int]:
+        """S, P'AP and its number of rows."""
+        strong = scaled.where("row <> col").where(F.abs("value") >= theta * F.sqrt(F.abs(F.col("d1") * F.col("d2"))))
+        links = strong.select(F.explode(F.array(F.struct(F.col("row").alias("a"), F.col("col").alias("b")), F.struct(F.col("col").alias("a"), F.col("row").alias("b")))).alias("l")).select("l.*")
+        groups = aggregates(scaled.where("row = col").select(F.col("row").alias("idx")), links, own)
+        smaller = groups.where("idx = root").count()
+        jacobi = F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0) - F.col("value") / F.col("d1") * omega
+        right = groups.select(F.col("idx").alias("col"), F.col("root").alias("_to"))
+        prolongation = scaled.withColumn("value", jacobi).join(right, "col").groupBy("row", F.col("_to").alias("col")).agg(F.sum("value").alias("value"))
+        prolongation = own.table(prolongation, "prolongation")
+        right = prolongation.select(F.col("row").alias("col"), F.col("col").alias("_to"), F.col("value").alias("_w"))
+        both = scaled.withColumn("jacobi", jacobi).join(right, "col").groupBy("row", F.col("_to").alias("col")).agg(F.sum(F.col("value") * F.col("_w")).alias("value"), F.sum(F.col("jacobi") * F.col("_w")).alias("smooth"))
+        both = own.table(both, "smoothed")
+        transfer = self._keep(Sized(both.select("row", "col", F.col("smooth").alias("value")), transpose=True))
+        return transfer, self._keep(Sized(product(transposed(prolongation), both.select("row", "col", "value")))), smaller
 
     def sizes(self) -> list[int]:
-        return [level.diagonal.count() for level in self.levels]
+        return [level.unknowns for level in self.levels]
 
     def cycle(self, rest: DataFrame, at: int = 0) -> DataFrame:
-        """(idx, z): one V-cycle for the residual (idx, r)."""
+        """(idx, z), yet to be summed by idx: one V-cycle for the residual (idx, r)."""
         level = self.levels[at]
-        if level.prolongation is None and self.dense is not None:
-            given = np.zeros(len(self.order))
-            for i, x in rest.where("r <> 0").collect():
-                given[self.order[i]] = x
-            z = np.linalg.lstsq(self.dense, given, rcond=1e-12)[0]
-            return rest.sparkSession.createDataFrame([(i, float(z[k])) for i, k in self.order.items()], "idx long, z double")
-        smooth = F.col("r") / F.col("d") * level.omega
-        state = rest.join(level.diagonal, "idx").withColumn("x", smooth)
-        if level.prolongation is None:
-            return state.select("idx", F.col("x").alias("z"))
-        state = self.scratch.table(_joined(state, level.matrix.times(state, {"w": F.col("x")}), "w"), f"smoothed-{at}")
-        coarse = level.prolongation.times(state, {"r": F.col("r") - F.col("w")}, transposed=True)
-        z = self.cycle(self.scratch.table(coarse, f"restricted-{at}"), at + 1)
-        lifted = level.prolongation.times(z, {"z": F.col("z")})
-        state = _joined(state.drop("w"), lifted, "z").withColumn("x", F.col("x") + F.col("z"))
-        state = self.scratch.table(state.drop("z"), f"corrected-{at}")
-        after = _joined(state, level.matrix.times(state, {"w": F.col("x")}), "w")
-        return after.select("idx", (F.col("x") + (F.col("r") - F.col("w")) / F.col("d") * level.omega).alias("z"))
+        own = level.smoother.parts(rest, {"z": F.col("r")})
+        if level.transfer is None:
+            return own
+        coarse = level.transfer.times(rest, {"r": F.col("r")}, transposed=True)
+        if self.levels[at + 1].transfer is not None:  # it is read twice
+            coarse = self.scratch.table(coarse, f"restricted-{at}")
+        z = self.cycle(coarse, at + 1).groupBy("idx").agg(F.sum("z").alias("z"))
+        return own.unionByName(level.transfer.parts(z, {"z": F.col("z")}))
 
     def __enter__(self) -> Hierarchy:
         return self
@@ -149,35 +166,42 @@ class Hierarchy:
 def conjugate_gradient(entries: DataFrame, rhs: DataFrame, tolerance: float = TOLERANCE, max_iterations: int = ITERATIONS, theta: float = THETA, coarse: int = COARSE, counts: list | None = None) -> DataFrame:
     """(idx, value) of the solution of a symmetric positive system, each residual improved by a V-cycle first.
 
-    ``counts`` gets the sizes of the levels and the number of iterations.
+    The form of Chronopoulos and Gear: an iteration is one table (idx, x, r, p, s, u, w), u the cycle's result and w the matrix
+    times u, and one job for its three sums. ``counts`` gets the sizes of the levels and the number of iterations.
     """
     scratch = Scratch(entries.sparkSession)
-    x, r, p, q, z = (F.col(n) for n in "xrpqz")
-    with Matrix(entries) as matrix, Hierarchy(matrix, theta, coarse) as levels:
-        begun = _unknowns(matrix, _vector(rhs), [0])
-        state = scratch.table(begun.select("idx", F.lit(0.0).alias("x"), F.col("b0").alias("r")), "right-side")
-        whole, before = _sums(state, r * r)[0], None
+    zero, (x, r, p, s, u, w) = F.lit(0.0), (F.col(n) for n in "xrpsuw")
+    loops = entries.select("row", F.col("row").alias("col"), zero.alias("value"))  # a product over them brings u along
+    with Sized(entries.select("row", "col", F.col("value").cast("double").alias("value")).unionByName(loops)) as matrix, Hierarchy(matrix, theta, coarse) as levels:
+
+        def with_products(state: DataFrame) -> DataFrame:
+            better = levels.cycle(state.select("idx", "r")).groupBy("idx").agg(F.sum("z").alias("u"))
+            own = F.col("row") == F.col("col")
+            met = matrix.entries().join(better.withColumnRenamed("idx", "col"), "col")
+            met = met.groupBy(F.col("row").alias("idx")).agg(F.sum(F.when(own, u)).alias("u"), F.sum(F.col("value") * u).alias("w"))
+            return scratch.table(_joined(state, met, "u", "w"), "multigrid-state")
+
+        state = _unknowns(matrix, _vector(rhs), [0]).select("idx", zero.alias("x"), F.col("b0").alias("r"), zero.alias("p"), zero.alias("s"))
+        state = with_products(scratch.table(state, "right-side"))
         if counts is not None:
             counts.append(levels.sizes())
-        left, n = 1.0 if whole else 0.0, 0
-        while left > tolerance:
-            if n >= max_iterations:
+        before = step = whole = None
+        for n in range(max_iterations + 1):
+            rz, wz, rr = _sums(state, r * u, w * u, r * r)
+            whole = rr if whole is None else whole
+            left = math.sqrt(rr / whole) if whole else 0.0
+            if left <= tolerance:
+                if counts is not None:
+                    counts.append(n)
+                scratch.drop("right-side")
+                return state.select("idx", x.alias("value"))
+            if n == max_iterations:
                 raise NotConverged("CG with multigrid", n, left)
-            state = scratch.table(_joined(state, levels.cycle(state.select("idx", "r")), "z"), "preconditioned")
-            rz = _sums(state, r * z)[0]
-            if rz <= 0:
+            turn = rz / before if before else 0.0
+            bottom = wz - turn * rz / step if before else wz
+            if rz <= 0 or bottom <= 0:
                 raise NotConverged("CG with multigrid", n, left, "the matrix is not symmetric and positive, so the method ends")
-            direction = z if before is None else z + p * (rz / before)
-            before = rz
-            state = state.select("idx", "x", "r", direction.alias("p"))
-            state = scratch.table(_joined(state, matrix.times(state, {"q": p}), "q"), "multigrid-step")
-            bottom = _sums(state, p * q)[0]
-            if bottom <= 0:
-                raise NotConverged("CG with multigrid", n, left, "the matrix is not symmetric and positive, so the method ends")
-            step = rz / bottom
-            state = state.select("idx", (x + p * step).alias("x"), (r - q * step).alias("r"), "p")
-            state = scratch.table(state, "multigrid-state")
-            left, n = math.sqrt(_sums(state, r * r)[0] / whole), n + 1
-        if counts is not None:
-            counts.append(n)
-        return state.select("idx", x.alias("value"))
+            before, step = rz, rz / bottom
+            ahead, product_ahead = u + p * turn, w + s * turn
+            state = with_products(state.select("idx", (x + ahead * step).alias("x"), (r - product_ahead * step).alias("r"), ahead.alias("p"), product_ahead.alias("s")))
+    raise AssertionError

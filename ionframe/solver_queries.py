@@ -120,7 +120,7 @@ def multigrid_chain(spark: SparkSession, d: str) -> DataFrame:
     beside = c.select("idx", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).select(F.col("idx").alias("row"), (F.col("idx") + F.col("step")).alias("col"))
     off = beside.join(c.select(F.col("idx").alias("col")), "col").select("row", "col", F.lit(-1.0).alias("value"))
     entries = off.unionByName(c.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(3.0).alias("value")))
-    return multigrid.conjugate_gradient(entries, c, 1e-8).select("idx", r("value", 4).alias("value"))
+    return multigrid.conjugate_gradient(entries, c, 1e-11).select("idx", r("value", 4).alias("value"))
 
 
 @query("SELECT DISTINCT unnest([vec_id % 61, (vec_id * 3 + 5) % 61, (vec_id * 7 + 10) % 61, (vec_id * 13 + 15) % 61]) AS idx, true AS solved FROM embeddings")

@@ -53,3 +53,18 @@ def test_what_it_cannot_solve_raises(spark):
     swap = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "row long, col long, value double")
     with pytest.raises(krylov.NotConverged):
         multigrid.conjugate_gradient(swap, spark.createDataFrame([(0, 1.0), (1, -1.0)], "idx long, value double"))
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_a_dominant_diagonal_needs_no_more_levels(spark, monkeypatch, bucketed):
+    """A chain's second level hardly shrinks further and is left to Jacobi; large and small matrices are stored differently."""
+    monkeypatch.setattr(krylov, "BUCKETED", 0 if bucketed else 10**9)
+    n, counts = 300, []
+    nodes = spark.range(n).select(F.col("id").alias("row"))
+    cells = nodes.select("row", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"))
+    entries = cells.select("row", (F.col("row") + F.col("step")).alias("col"), F.when(F.col("step") == 0, 3.0).otherwise(-1.0).alias("value")).where(f"col BETWEEN 0 AND {n - 1}")
+    rhs = nodes.select(F.col("row").alias("idx"), (F.col("row") % 7 - 2.5).alias("value"))
+    found = [r.value for r in multigrid.conjugate_gradient(entries, rhs, 1e-11, coarse=10, counts=counts).orderBy("idx").collect()]
+    dense = 3 * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
+    assert np.allclose(found, np.linalg.solve(dense, np.arange(n) % 7 - 2.5), atol=1e-9)
+    assert len(counts[0]) == 2 and counts[1] < 20
