@@ -522,3 +522,20 @@ def test_hits_in_a_crowded_cell_come_from_pairs_of_chunks(spark, monkeypatch):
     assert {r.id: (r.share, r.tri_id) for r in spatial.first_hits(segments, triangles, 4.0).collect()} == nearest
     crowd = pairs.chunk_pairs(spatial.legs(segments, 4.0), spatial.triangle_cells(triangles, 4.0), spatial.CELL).select(F.size("_l").alias("a"), F.size("_r").alias("b"), F.spark_partition_id().alias("p")).collect()
     assert max(r.a for r in crowd) < 30 and max(r.b for r in crowd) < 30 and len({r.p for r in crowd}) > 8
+
+
+def test_points_of_a_full_cell_are_the_work_of_many(spark):
+    """All in one cell, corners and faces included, against every pair; the pairs found come from several tasks."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 8, (60, 4, 3)).astype(float)  # many flat ones, many points on faces
+    p = np.concatenate([rng.integers(0, 8, (4000, 3)).astype(float), rng.random((2000, 3)) * 8])
+    near = lambda a, b, c: np.cross(v[:, b] - v[:, a], v[:, c] - v[:, a])
+    turn = np.sign(np.einsum("ij,ij->i", v[:, 3] - v[:, 0], near(0, 1, 2)))
+    want = np.repeat(turn[None] != 0, len(p), axis=0)
+    for a, b, c in ((1, 3, 2), (0, 2, 3), (0, 3, 1), (0, 1, 2)):
+        want &= ((p[:, None] - v[None, :, a]) * near(a, b, c) * turn[:, None]).sum(axis=2) >= 0
+    particles = points(spark, [(i, tuple(map(float, x))) for i, x in enumerate(p)] + [(-1, (float("nan"), 1.0, 1.0))], ["id", "pos"])
+    tetras = points(spark, [(i, *[tuple(map(float, c)) for c in x]) for i, x in enumerate(v)], ["tetra_id", "v0", "v1", "v2", "v3"])
+    found = spatial.containing_tetras(particles, tetras, 1000.0).select("id", "tetra_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.tetra_id) for r in found) == sorted(map(tuple, np.argwhere(want).tolist()))
+    assert len({r.task for r in found}) > 1
