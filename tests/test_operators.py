@@ -539,3 +539,37 @@ def test_points_of_a_full_cell_are_the_work_of_many(spark):
     found = spatial.containing_tetras(particles, tetras, 1000.0).select("id", "tetra_id", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.id, r.tetra_id) for r in found) == sorted(map(tuple, np.argwhere(want).tolist()))
     assert len({r.task for r in found}) > 1
+
+
+def test_chunks_of_a_key_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    """Pairs of chunks do not grow with the pairs of rows; the pairs of rows are all there."""
+    from ionframe.operators import pairs
+
+    monkeypatch.setattr(pairs.chunk_pairs, "__defaults__", (3,))
+    rows = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    met = pairs.chunk_pairs(rows, rows.select("k", F.col("a").alias("b")), ["k"])
+    assert 8 * 8 < met.count() <= pairs.ENOUGH**2
+    each = met.select(F.explode("_l.a").alias("a"), "_r").select("a", F.explode("_r.b").alias("b"))
+    assert each.distinct().count() == each.count() == 400 * 400
+    monkeypatch.setattr(pairs, "LARGEST", 10)
+    assert pairs.chunks(rows, ["k"], "_l", 3, enough=2).agg(F.max(F.size("_l"))).first()[0] < 40
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e30])
+def test_hits_on_edges_and_corners_are_decided_in_double_precision(spark, monkeypatch, scale):
+    """Whole numbers, so that many legs end on a triangle or pass through its edges and corners, against every pair; in several steps."""
+    monkeypatch.setattr(spatial, "COLUMNS", 50)
+    rng = np.random.default_rng(12)
+    p0, p1 = (rng.integers(1, 7, (80, 3)) * scale for _ in range(2))
+    a, b, c = (rng.integers(1, 7, (120, 3)) * scale for _ in range(3))
+    each = lambda x: [tuple(map(float, r)) for r in x]
+    segments = points(spark, list(zip(range(80), each(p0), each(p1), strict=True)), ["id", "p0", "p1"])
+    triangles = points(spark, list(zip(range(120), each(a), each(b), each(c), strict=True)), ["tri_id", "v0", "v1", "v2"])
+    d, s, b, c = (p1 - p0)[:, None], p0[:, None] - a[None], (b - a)[None], (c - a)[None]
+    n = np.cross(b, c)
+    with np.errstate(all="ignore"):
+        turn = -(d * n).sum(axis=2)
+        share, u, w = (s * n).sum(axis=2) / turn, (c * np.cross(s, d)).sum(axis=2) / turn, -(b * np.cross(s, d)).sum(axis=2) / turn
+    want = {(i, j): share[i, j] for i, j in np.argwhere((share >= 0) & (share <= 1) & (u >= 0) & (w >= 0) & (u + w <= 1)).tolist()}
+    assert sum(x in (0, 1) for x in want.values()) > 20
+    assert {(r.id, r.tri_id): r.share for r in spatial.segment_hits(segments, triangles, 100 * scale, points=False).collect()} == pytest.approx(want)
