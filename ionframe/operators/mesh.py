@@ -65,10 +65,9 @@ def class_links(members: DataFrame) -> DataFrame:
 
 def expanded(links: DataFrame, members: DataFrame, *kept: str) -> DataFrame:
     """(kept.., source, target): the triangles of both ends of (cls, other, kept..), a pair of classes once."""
-    left = pairs.chunks(members.select("cls", "tri_id"), ["cls"], "source")
-    right = pairs.chunks(members.select(F.col("cls").alias("other"), "tri_id"), ["other"], "target")
-    met = pairs.dealt(links.join(left, "cls").join(right, "other"), "source", "target", *kept)
-    return met.select(*kept, F.col("source.tri_id").alias("source"), F.col("target.tri_id").alias("target"))
+    left = pairs.chunks(members.select("cls", "tri_id"), ["cls"], "source").withColumn("source", F.col("source.tri_id"))
+    right = pairs.chunks(members.select(F.col("cls").alias("other"), "tri_id"), ["other"], "target").withColumn("target", F.col("target.tri_id"))
+    return pairs.dealt(links.join(left, "cls").join(right, "other"), "source", "target", *kept)
 
 
 def adjacency(triangles: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -573,3 +574,16 @@ def test_hits_on_edges_and_corners_are_decided_in_double_precision(spark, monkey
     want = {(i, j): share[i, j] for i, j in np.argwhere((share >= 0) & (share <= 1) & (u >= 0) & (w >= 0) & (u + w <= 1)).tolist()}
     assert sum(x in (0, 1) for x in want.values()) > 20
     assert {(r.id, r.tri_id): r.share for r in spatial.segment_hits(segments, triangles, 100 * scale, points=False).collect()} == pytest.approx(want)
+
+
+def test_a_stage_holds_the_pairs_of_a_step(spark):
+    """Between the explodes the stage ends, so that the pairs of whole chunks are never held; steps lose no row."""
+    from ionframe.operators import pairs
+
+    ends = lambda n, name: spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias(name))
+    for n, m in ((1, 1), (pairs.STEP, 3), (2 * pairs.STEP + 1, 5)):
+        left, right = pairs.chunks(ends(n, "a"), ["k"], "l", 1000), pairs.chunks(ends(m, "b"), ["k"], "r", 1000)
+        met = pairs.dealt(left.join(right, "k"), "l", "r").select("l.a", "r.b")
+        assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(n) for b in range(m)]
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+        assert re.findall("Generate explode|Coalesce", plan) == ["Generate explode", "Generate explode", "Coalesce", "Generate explode"]
