@@ -24,32 +24,92 @@ def shares(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFr
     d2 = V.dot(V.sub(F.col("c0"), F.col("centroid")), V.sub(F.col("c0"), F.col("centroid")))
     weighed = pairs.join(mean, "source").withColumn("w", F.col("area") * F.exp(-d2 / (2 * F.col("sigma") * F.col("sigma"))))
     total = weighed.groupBy("source").agg(F.sum("w").alias("all_w"))
-    num = F.greatest(F.lit(1), F.round(F.col("n") * float(10**weight_exponent) * F.col("w") / F.col("all_w"))).cast("long")
+    num = F.greatest(F.lit(1), F.round(F.try_divide(F.col("n") * float(10**weight_exponent) * F.col("w"), F.col("all_w")))).cast("long")
     return weighed.join(total, "source").select("source", "target", num.alias("num"))
 
 
+#: Sources and targets that are weighed at once.
+ROWS, COLUMNS = 16, 2048
+
+
+def _weighed(factor: float | None):
+    """Of chunks of sources and targets (sigma, s, t): the sum of a source's weights (tri_id, w), or with ``factor`` every pair's
+    rounded share (source, target, num). What has no place or area has no weight, and is null as in SQL."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def numbers(held, *names: str) -> list:
+            return [held.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+        def known(held, *names: str):
+            return np.all([held.field(n).is_valid().to_numpy(zero_copy_only=False) for n in names], axis=0)
+
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for place in range(batch.num_rows):
+                    sigma, sources, whole = batch.column(0)[place].as_py(), batch.column(1)[place].values, batch.column(2)[place].values
+                    place_of, sure = numbers(sources, *"xyz"), known(sources, *"xyz")
+                    if factor is not None:
+                        (n, total), sure = numbers(sources, "n", "all_w"), sure & known(sources, "all_w")
+                        sure &= total != 0
+                    sums, weighed = np.zeros(len(sources)), False
+                    for start in range(0, len(whole), COLUMNS):
+                        targets = whole.slice(start, COLUMNS)
+                        *at, area = numbers(targets, *"xyz", "area")
+                        weighty = known(targets, *"xyz", "area")
+                        weighed |= weighty.any()
+                        for first in range(0, len(sources), ROWS):
+                            rows = slice(first, first + ROWS)
+                            d2 = 0.0
+                            for p, q in zip(place_of, at, strict=True):
+                                apart = p[rows, None] - q
+                                apart *= apart
+                                d2 = d2 + apart
+                            d2 /= -(2 * sigma * sigma)
+                            w = np.exp(d2, out=d2)
+                            w *= area
+                            if factor is None:
+                                sums[rows] += w.sum(axis=1, where=weighty)
+                                continue
+                            w *= (n * factor)[rows, None]
+                            w /= total[rows, None]
+                            w += 0.5
+                            num = np.floor(w, out=w).ravel()
+                            some = (sure[rows, None] & weighty).ravel()
+                            of = pa.array(np.repeat(np.arange(first, first + len(w)), len(targets)))
+                            columns = [sources.field("tri_id").take(of), pa.concat_arrays([targets.field("tri_id")] * len(w)), pa.array(num, mask=None if some.all() else ~some)]
+                            yield pa.RecordBatch.from_arrays(columns, ["source", "target", "num"])
+                    if factor is None:
+                        yield pa.RecordBatch.from_arrays([sources.field("tri_id"), pa.array(sums, mask=~(sure & weighed))], ["tri_id", "w"])
+
+    return run
+
+
 def class_shares(cells: DataFrame, members: DataFrame, reach: DataFrame, weight_exponent: int) -> DataFrame:
     """``shares`` of what classes (cls, other, ..) of cells (tri_id, cls) reach; pairs of cells are made, summed and made again.
 
     All cells of a class reach the same cells, so a mean area comes from sums over classes. What is shuffled is a row for
-    each source and chunk of targets, and no pairs.
+    each pair of chunks of sources and targets, and no pairs of cells; these are weighed in numpy.
     """
     at = [F.col("centroid")[a].alias(a) for a in "xyz"]
     shape = materialise(with_shape(cells).join(members.select("tri_id", "cls"), "tri_id").select("cls", "tri_id", "cnt", "area", *at), "shapes")
     areas = shape.groupBy(F.col("cls").alias("other")).agg(F.sum("area").alias("a"), F.count("area").alias("m"))
-    mean = reach.join(areas, "other").groupBy("cls").agg(F.greatest(F.lit(0.5), 2 * F.sqrt(F.sum("a") / F.sum("m"))).alias("sigma"))
+    mean = reach.join(areas, "other").groupBy("cls").agg(F.greatest(F.lit(0.5), 2 * F.sqrt(F.try_divide(F.sum("a"), F.sum("m")))).alias("sigma"))
     links = reach.select("cls", "other").join(mean, "cls")
-    targets = pairs.chunks(shape.select(F.col("cls").alias("other"), "tri_id", "area", "x", "y", "z"), ["other"], "t")
+    targets = pairs.chunks(shape.select(F.col("cls").alias("other"), "tri_id", "area", "x", "y", "z"), ["other"], "t", enough=pairs.ENOUGH)
 
-    def weighed(sources: DataFrame) -> DataFrame:
-        met = pairs.dealt(links.join(pairs.chunks(sources, ["cls"], "s"), "cls").join(targets, "other"), "s", "t", "sigma")
-        d2 = sum(((F.col(f"s.{a}") - F.col(f"t.{a}")) * (F.col(f"s.{a}") - F.col(f"t.{a}")) for a in "xyz"), F.lit(0.0))
-        return met.withColumn("w", F.col("t.area") * F.exp(-d2 / (2 * F.col("sigma") * F.col("sigma"))))
+    def met(sources: DataFrame) -> DataFrame:
+        held = pairs.chunks(sources, ["cls"], "s", enough=pairs.ENOUGH)
+        return pairs.spread(links.join(held, "cls").join(targets, "other"), "s", "t").select("sigma", "s", "t")
 
+    kind = cells.schema["tri_id"].dataType.simpleString()
     sources = shape.where("cnt > 0").select("cls", "tri_id", F.col("cnt").alias("n"), "x", "y", "z")
-    total = materialise(weighed(sources.drop("n")).groupBy(F.col("s.tri_id").alias("tri_id")).agg(F.sum("w").alias("all_w")), "weights")
-    num = F.greatest(F.lit(1), F.round(F.col("s.n") * float(10**weight_exponent) * F.col("w") / F.col("s.all_w"))).cast("long")
-    return weighed(sources.join(total, "tri_id")).select(F.col("s.tri_id").alias("source"), F.col("t.tri_id").alias("target"), num.alias("num"))
+    sums = met(sources.drop("n")).mapInArrow(_weighed(None), f"tri_id {kind}, w double")
+    total = materialise(sums.groupBy("tri_id").agg(F.sum("w").alias("all_w")), "weights")
+    found = met(sources.join(total, "tri_id")).mapInArrow(_weighed(float(10**weight_exponent)), f"source {kind}, target {kind}, num double")
+    return found.select("source", "target", F.greatest(F.lit(1), "num").cast("long").alias("num"))
 
 
 def distributed(cells: DataFrame, reached: DataFrame, weight_exponent: int) -> DataFrame:

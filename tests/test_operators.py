@@ -587,3 +587,29 @@ def test_a_stage_holds_the_pairs_of_a_step(spark):
         assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(n) for b in range(m)]
         plan = met._jdf.queryExecution().sparkPlan().toString()
         assert re.findall("Generate explode|Coalesce", plan) == ["Generate explode", "Generate explode", "Coalesce", "Generate explode"]
+
+
+def test_shares_of_cells_without_place_or_area(spark, monkeypatch):
+    """Weights that are null or sum to nothing give 1, as in SQL; sources and targets in several steps."""
+    monkeypatch.setattr(distribute, "ROWS", 2)
+    monkeypatch.setattr(distribute, "COLUMNS", 3)
+    fields = "tri_id long, v0 struct<x:double,y:double,z:double>, v1 struct<x:double,y:double,z:double>, v2 struct<x:double,y:double,z:double>, n0 long, n1 long, n2 long, cnt long"
+    rng = np.random.default_rng(4)
+    place = lambda: tuple(map(float, rng.normal(size=3)))
+    flat = ((1.0, 1.0, 1.0),) * 3
+    rows = [(i, *(flat if i % 4 == 1 else (place(), place(), place())), 1, 2, 3, 7 * i) for i in range(11)]
+    rows += [(11, (None, 0.0, 0.0), place(), place(), 1, 2, 3, 5), (12, None, None, None, 1, 2, 3, None)]
+    rows += [(20, *flat, 7, 8, 9, 4), (21, *flat, 7, 8, 9, 0), (30, None, None, None, 10, 11, 12, 4)]
+    cells = spark.createDataFrame(rows, fields)
+    members = mesh.classes(cells)
+    got = {(r.source, r.target): r.num for r in distribute.class_shares(cells, members, mesh.class_levels(members, 1), 2).collect()}
+    assert got[20, 20] == got[20, 21] == got[30, 30] == got[11, 3] == got[3, 11] == got[3, 12] == got[3, 1] == 1
+    reached = mesh.triangle_levels(cells, 1)
+    assert got == {(r.source, r.target): r.num for r in distribute.shares(cells, reached, 2).collect()}
+    area, middle = {}, {}
+    for i, *v, _, _, _, _ in rows[:11]:
+        a, b, c = map(np.array, v)
+        area[i], middle[i] = np.linalg.norm(np.cross(b - a, c - a)) / 2, (a + b + c) / 3
+    sigma = max(0.5, 2 * np.sqrt(np.mean(list(area.values()))))
+    w = {t: area[t] * np.exp(-((middle[2] - middle[t]) ** 2).sum() / (2 * sigma**2)) for t in area}
+    assert {t: got[2, t] for t in w} == {t: max(1, int(np.floor(1400 * x / sum(w.values()) + 0.5))) for t, x in w.items()}
